@@ -23,7 +23,7 @@ _NAME = rf"{_WORD}(?:,?{_S}{_TOKEN})(?:{_S}{_TOKEN}){{0,4}}?"
 _SIGN = r"(?:@|[ ]@[ ]|[ ]?[\(\[]at[\)\]][ ]?|[ ]at[ ]|[ ]?[\(\[]arroba[\)\]][ ]?|[ ]arroba[ ])"
 _DOT = r"(?:\.|[ ]?[\(\[]dot[\)\]][ ]?|[ ]dot[ ]|[ ]?[\(\[](?:ponto|punto)[\)\]][ ]?|[ ](?:ponto|punto)[ ])"
 EMAIL = rf"[\w+-]+(?:\.[\w+-]+)*{_SIGN}[\w-]+(?:{_DOT}[\w-]+)+"
-PHONE = r"(?:\+\d{1,3}|00\d{2}(?=[ .-]))?[ .-]?(?:\(\d{1,3}\)[ .-]?)?\d{2,14}(?:[ .-]\d{1,7}){0,4}"
+PHONE = r"(?:(?:\+\d{1,3}|00\d{2}(?=[ .-]))[ .-]?)?(?:\(\d{1,3}\)[ .-]?)?\d{2,14}(?:[ .-]\d{1,7}){0,4}"
 IDENTITY = (
     r"(?:XX-?\d\d\.?\d{3}\.?\d{3}(?:-\w)?|XA\d{7}|QQ ?\d\d ?\d\d ?\d\d ?[A-D]|\d{3}[. ]?\d{3}[. ]?\d{3}[- ]?\d\d"
     r"|\d{3}[- ]?\d\d[- ]?\d{4}|[XYZ]?-?\d{1,2}\.?\d{3}\.?\d{3}-?[A-Z])"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfree.functions.polygon import shoelace_area, valid_points
 from stepfree.functions.text import class_key, clean_split
-from stepfree.llm import diverse, packing, splits, topn
+from stepfree.llm import diverse, leak, packing, pii, splits, topn
 from stepfree.operators.spatial import near_groups
 from stepfree.session import cut, table
 
@@ -57,9 +57,28 @@ def p6_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(counts).withColumnRenamed("id", "doc_id")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leak.leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    found = leak.leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("words").cast("int").alias("most_words"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    spans = pii.tag_mentions(table(spark, sf, "documents"), "doc_id", "text")
+    return spans.select("doc_id", "kind", "mention").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(table(spark, sf, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_varied_subset, p3_found, p3_splits, p5_found, p6_sequences,
+        p1_varied_subset, p3_found, p3_splits, p5_found, p6_sequences, p7_found, p7_items, p8_found, p8_redacted,
     )
 }
