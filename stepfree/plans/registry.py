@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfree.plans import nested_neighbours, street
+from stepfree.plans import journeys, nested_neighbours, street
 
-MODULES = (nested_neighbours, street)
+MODULES = (nested_neighbours, street, journeys)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
