@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from stepfree.operators.images import RAW_IMAGE, hash_split, in_city, required_or_fail
+from stepfree.operators.images import RAW_IMAGE, hash_split, required_or_fail
 from stepfree.operators.nested import PREDICTIONS, parse_records, shred
 
 TILE_LIMIT, TILE_WARN = 2000, 1800
@@ -38,7 +38,11 @@ def read_manifest(spark: SparkSession, path: str, train: float = 0.85, city: str
         field("latitude", "latitude", "lat").cast("double").alias("latitude"), field("longitude", "longitude", "lon", "lng").cast("double").alias("longitude"),
         optional("city").alias("city"), optional("compass_angle").try_cast("double").alias("compass_angle"), optional("captured_at").alias("captured_at"),
     ).withColumn("split", hash_split(F.col("image_id"), train))
-    return in_city(rows, city) if city else rows
+    if not city:
+        return rows
+    # one condition, so that a pushed-down filter still checks every row before it looks at the city
+    sound = F.col("image_id").isNotNull() & F.col("image_path").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return rows.where(F.when(sound, (F.lower(F.trim("city")) == city.lower()) & (F.trim("city") != "")))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -66,11 +70,12 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as maps: (node_id, data map) and (u, v, k, data map), values as
     text. Use `typed` to restore types."""
     keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string").load(path)
-    names = {(r["_for"], r["_id"]): r["_attr.name"] for r in keys.collect()}
+    names = {(r["_for"], r["_id"]): r["_attr.name"] for r in keys.collect() if r["_id"] is not None}
     shape = "data array<struct<_VALUE:string,_key:string>>"
 
     def load(tag: str, attributes: str) -> DataFrame:
         rows = spark.read.format("xml").option("rowTag", tag).schema(f"{attributes}, {shape}").load(path)
+        rows = rows.where(F.col(attributes.split()[0]).isNotNull())  # what follows the last element is no element
         lookup = F.create_map(*[F.lit(x) for (kind, key), name in names.items() if kind in (tag, "all") for x in (key, name)] or [F.lit(""), F.lit("")])
         named = F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(F.coalesce(F.try_element_at(lookup, d["_key"]), d["_key"]).alias("k"), d["_VALUE"].alias("v")))
         return rows.withColumn("data", F.map_from_entries(named))
