@@ -30,7 +30,7 @@ def view_cells(df: DataFrame, key: str, lat: str, lon: str, heading: str, cell_m
     col = F.floor(F.col("lon") * F.cos(F.radians(row * F.lit(step))) / F.lit(step))
     # the same form in every engine: x - 360 * floor(x / 360) rather than a signed modulus
     turned = F.col("heading") - 360.0 * F.floor(F.col("heading") / 360.0)
-    sector = F.coalesce(F.least(F.floor(turned / F.lit(360.0 / sectors)), F.lit(sectors - 1)), F.lit(-1))
+    sector = F.when(F.col("heading").isNull(), F.lit(-1)).otherwise(F.least(F.floor(turned / F.lit(360.0 / sectors)), F.lit(sectors - 1)))
     return one.select("id", F.concat_ws("|", row.cast("string"), col.cast("string"), sector.cast("string")).alias("cell"))
 
 

@@ -21,7 +21,7 @@ ORACLE: dict[str, str] = {
           select id, r::varchar || '|' || floor(lon * cos(radians(r * (50.0::double / 111195.0::double))) / (50.0::double / 111195.0::double))::bigint::varchar
                  || '|' || s::varchar as cell
           from (select *, floor(lat / (50.0::double / 111195.0::double))::bigint as r,
-                       coalesce(least(floor((heading - 360.0::double * floor(heading / 360.0::double)) / 45.0::double)::bigint, 7), -1) as s from one)
+                       case when heading is null then -1 else least(floor((heading - 360.0::double * floor(heading / 360.0::double)) / 45.0::double)::bigint, 7) end as s from one)
         ), ranked as (
           select *, row_number() over (partition by cell order by md5(id)) as rank_pos from cells
         ), placed as (
