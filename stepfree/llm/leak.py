@@ -116,8 +116,8 @@ def _seed(tokens: np.ndarray) -> np.ndarray:
     return h
 
 
-def _align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, list[int], list[int]]:
-    """Best local alignment: (score, _, matched item positions, matched text
+def _align(item: np.ndarray, text: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """Best local alignment: (score, matched item positions, matched text
     positions); a match is worth 1, a changed, added or missing word costs `_GAP`."""
     m, n = len(item), len(text)
     score = np.zeros((m + 1, n + 1), np.int32)
@@ -142,40 +142,77 @@ def _align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, list[int], lis
             i -= 1
         else:
             j -= 1
-    return best, 0, at_item[::-1], at_text[::-1]
+    return best, at_item[::-1], at_text[::-1]
+
+
+def _rim(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
+    """Words that go on in order just outside a segment, past one damaged word: too
+    few of them to pay for the damage in the alignment. Both arrays begin at the
+    segment's edge; positions of (item, text) counted from there."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    for i in range(min(3, len(item))):
+        for j in range(at, min(4, len(text))):
+            if item[i] == text[j]:
+                out.append((i, j))
+                at = j + 1
+                break
+    return out
 
 
-def matched_words(item: np.ndarray, stock: np.ndarray, text: np.ndarray, depth: int = 3) -> tuple[int, int]:
-    """(matched, spanned) words of the item in the text, in order, stock wording
-    not counted: the best segment, and what precedes and follows it on both sides,
-    for other text may stand between the parts of a passage."""
+def matched_positions(item: np.ndarray, text: np.ndarray, depth: int = 3) -> list[int]:
+    """Item words found in the text, in order: the best segment, and what precedes
+    and follows it on both sides, for other text may stand between the parts of a
+    passage."""
     if depth == 0 or len(item) < _LEAST_SEGMENT or len(text) < _LEAST_SEGMENT:
-        return 0, 0
-    score, _, a, b = _align(item, text)
+        return []
+    score, a, b = _align(item, text)
     if score < _LEAST_SEGMENT - 1:
-        return 0, 0
-    inside = ~stock[a[0] : a[-1] + 1]
-    got, span = int((~stock[a]).sum()), int(inside.sum())
-    before = matched_words(item[: a[0]], stock[: a[0]], text[: b[0]], depth - 1)
-    after = matched_words(item[a[-1] + 1 :], stock[a[-1] + 1 :], text[b[-1] + 1 :], depth - 1)
-    return got + before[0] + after[0], span + before[1] + after[1]
+        return []
+    first, last, start, stop = a[0], a[-1], b[0], b[-1]
+    left, right = _rim(item[:first][::-1], text[:start][::-1]), _rim(item[last + 1 :], text[stop + 1 :])
+    if left:
+        a = [first - 1 - i for i, _ in reversed(left)] + a
+        start -= 1 + left[-1][1]
+    if right:
+        a = a + [last + 1 + i for i, _ in right]
+        stop += 1 + right[-1][1]
+    before = matched_positions(item[: a[0]], text[:start], depth - 1)
+    after = matched_positions(item[a[-1] + 1 :], text[stop + 1 :], depth - 1)
+    return before + a + [a[-1] + 1 + p for p in after]
+
+
+def passage(positions: list[int], stock: np.ndarray) -> int:
+    """Most matched words in one stretch of the item of which at most one word in
+    five is missing; stock wording counts neither way. Words scattered over an item
+    are no passage."""
+    place = np.cumsum(~stock) - 1
+    at = [int(place[p]) for p in positions if not stock[p]]
+    best = 0
+    for i in range(len(at)):
+        for j in range(len(at) - 1, i + best - 1, -1):
+            if (j - i + 1) * 5 >= (at[j] - at[i] + 1) * 4:
+                best = max(best, j - i + 1)
+                break
+    return best
 
 
 def enough(matched: int, item_words: int) -> bool:
     """At least 18 words of the item (all of a shorter one), one in eight of them
-    changed at most."""
+    changed at most, and up to two unpaid words at the rims of a damaged passage."""
     asked = min(PASSAGE_WORDS, item_words)
-    return matched >= asked - asked // ONE_IN and matched > 0
+    return matched > 0 and matched >= asked - asked // ONE_IN - (2 if asked >= PASSAGE_WORDS else 0)
 
 
-def _search(block: ItemBlock, index: list, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
-    """(text number, item number, matched, spanned) of every text and item that share a seed."""
+def _search(block: ItemBlock, index: list, texts: list[list[str]]) -> list[tuple[int, int, int]]:
+    """(text number, item number, matched words) of every text and item that share a seed."""
     get = block.vocabulary.get
     parts = [np.array([get(w, -1) for w in t] + [-1] * 8, np.int64) for t in texts]
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    found: dict[tuple[int, int], list[int]] = {}
-    for mask, (hashes, items, _) in zip(block.masks, index):
+    docs, numbers, spots, covered = [], [], [], []
+    longest = max((len(t) for t in block.tokens), default=1)
+    for mask, (hashes, items, places) in zip(block.masks, index):
         at = np.array([i for i, c in enumerate(mask) if c == "1"])
         n = len(flat) - len(mask) + 1
         if n <= 0 or not len(hashes):
@@ -189,20 +226,35 @@ def _search(block: ItemBlock, index: list, texts: list[list[str]]) -> list[tuple
         high = np.searchsorted(hashes, seeds, "right")
         hit = np.nonzero(high > low)[0]
         reps = (high - low)[hit]
-        doc = np.searchsorted(starts, where[hit], "right") - 1
         slots = np.repeat(low[hit] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        for d, k, p in zip(np.repeat(doc, reps).tolist(), items[slots].tolist(), np.repeat(where[hit], reps).tolist()):
-            found.setdefault((d, k), []).append(p)
+        spot = np.repeat(where[hit], reps)
+        doc = np.searchsorted(starts, spot, "right") - 1
+        docs.append(doc)
+        numbers.append(items[slots])
+        spots.append(spot)
+        words_hit = ((doc * len(block.tokens) + items[slots]) * longest + places[slots])[:, None] + at[None, :]
+        covered.append(np.unique(words_hit.reshape(-1)))
+    if not docs:
+        return []
+    doc, number, spot = np.concatenate(docs), np.concatenate(numbers), np.concatenate(spots)
+    pair = doc * len(block.tokens) + number
+    seen, count = np.unique(np.unique(np.concatenate(covered)) // longest, return_counts=True)
+    # a passage with one word in eight changed has its seeds cover half of the words asked for at least
+    asked = np.minimum(PASSAGE_WORDS, np.array([len(t) for t in block.tokens]))[seen % len(block.tokens)]
+    alive = seen[count * 9 >= asked * 4]
+    keep = np.isin(pair, alive)
+    order = np.lexsort((spot[keep], pair[keep]))
+    pair, spot = pair[keep][order], spot[keep][order]
+    firsts = np.concatenate([[0], np.nonzero(np.diff(pair))[0] + 1, [len(pair)]]) if len(pair) else np.zeros(1, np.int64)
     out = []
-    for (d, k), places in found.items():
+    for x, y in zip(firsts[:-1], firsts[1:]):
+        d, k = divmod(int(pair[x]), len(block.tokens))
         item, text = block.tokens[k], parts[d]
         reach = len(item) + len(item) // 4 + 8
-        spots = np.unique(np.array(places)) - starts[d]
         near = np.zeros(len(text), bool)
-        for p in spots:
+        for p in np.unique(spot[x:y]) - starts[d]:
             near[max(0, p - reach) : p + reach] = True
-        matched, spanned = matched_words(item, block.stock[k], text[near])
-        out.append((d, k, matched, spanned))
+        out.append((d, k, passage(matched_positions(item, text[near]), block.stock[k])))
     return out
 
 
