@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfree.operators import nested
+from stepfree.functions.geo import usable
+from stepfree.operators.regions import regions_of
 from stepfree.operators.spatial import near_pairs
 from stepfree.session import cut, table
 
@@ -34,6 +36,22 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("image_id_a"), F.col("id_b").alias("image_id_b"))
 
 
+def p4_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The town octagons that hold each image: an octagon around the middle of the
+    town's usable positions, as wide as six tenths of their extent."""
+    rows = table(spark, sf, "manifest").where(usable(F.col("latitude"), F.col("longitude")))
+    points = rows.groupBy("image_id").agg(F.min("latitude").alias("lat"), F.min("longitude").alias("lon"))
+    named = rows.select(F.lower(F.trim("city")).alias("town"), "latitude", "longitude").where("town <> ''")
+    box = named.groupBy("town").agg(*[f(c).alias(f"{n}_{c}") for c in ("latitude", "longitude") for n, f in (("low", F.min), ("high", F.max))])
+    middle = {c: (F.col(f"low_{c}") + F.col(f"high_{c}")) / 2 for c in ("latitude", "longitude")}
+    reach = {c: (F.col(f"high_{c}") - F.col(f"low_{c}")) * 0.3 for c in ("latitude", "longitude")}
+    ring = F.array(*[F.array(middle["longitude"] + reach["longitude"] * a, middle["latitude"] + reach["latitude"] * b) for a, b in OCTAGON])
+    found = regions_of(points, "image_id", "lon", "lat", box.select("town", ring.alias("ring")), "town", "ring")
+    return found.select(F.col("id").alias("image_id"), F.col("region").alias("town"))
+
+
+OCTAGON = ((1.0, 0.4), (0.4, 1.0), (-0.4, 1.0), (-1.0, 0.4), (-1.0, -0.4), (-0.4, -1.0), (0.4, -1.0), (1.0, -0.4))
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_records": _flat("record"),
@@ -42,6 +60,7 @@ QUERIES = {
     "p2_points": _flat("point"),
     "p2_occluders": _flat("occluder"),
     "p4_found": p4_found,
+    "p4_regions": p4_regions,
 }
 
 _ITEMS = """
@@ -100,4 +119,15 @@ ORACLE = {
         )
         select a.id as image_id_a, b.id as image_id_b from cells a join around b using (cx, cy, cz)
         where a.id < b.id and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= pow(2 * sin(8.0 / 6371008.8 / 2), 2)""",
+    "p4_regions": f"""
+        with rows_ as (select * from manifest where latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)
+            and abs(latitude) <= 90 and abs(longitude) <= 180 and not (latitude = 0 and longitude = 0)),
+        points as (select image_id, min(latitude) as lat, min(longitude) as lon from rows_ where image_id is not null group by image_id),
+        box as (select lower(trim(city, ' ')) as town, (min(longitude) + max(longitude)) / 2 as mx, (max(longitude) - min(longitude)) * 0.3::double as rx,
+            (min(latitude) + max(latitude)) / 2 as my, (max(latitude) - min(latitude)) * 0.3::double as ry from rows_ where trim(city, ' ') <> '' group by 1),
+        corners as (select unnest([{", ".join(str(a) for a, _ in OCTAGON)}])::double as a, unnest([{", ".join(str(b) for _, b in OCTAGON)}])::double as b, unnest(range(8)) as i),
+        c as (select town, i, mx + rx * a as x, my + ry * b as y from box, corners),
+        e as (select p.town, p.x as x0, p.y as y0, q.x as x1, q.y as y1 from c p join c q on p.town = q.town and q.i = (p.i + 1) % 8 where p.y <> q.y)
+        select image_id, town from points join e on least(y0, y1) <= lat and lat < greatest(y0, y1) and x0 + (lat - y0) * ((x1 - x0) / (y1 - y0)) < lon
+        group by image_id, town having count(*) % 2 = 1""",
 }
