@@ -26,6 +26,8 @@ _FORMS = {
 #: Characters around a tagged span in which its form is looked for.
 _MARGIN = 48
 _TITLE = regex.compile(r"^(?:Mrs?|Ms|Dr|Sra?|Dra|Don|Doña)\b\.?\s+", regex.I)
+# fixed values: words that begin names of streets and houses, not of persons
+_PLACE = regex.compile(r"(?:Rua|R\.|Avenida|Avda?\.|Av\.|Travessa|Praça|Alameda|Largo|Calle|C/|Plaza|Travesía|Paseo|Escola|Escuela|Fundação|Fundación)(?:\s|$)", regex.I)
 _LETTER = regex.compile(r"[\p{L}\p{M}]")
 
 
@@ -46,11 +48,11 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
             start += title.end()
         end = start + len(part) - (title.end() if title else 0)
         start, end = _capitalised(text, start, end)
-        return (start, end) if len(text[start:end].split()) > 1 else None
+        return (start, end) if len(text[start:end].split()) > 1 and not _PLACE.match(text, start) else None
     low, high = max(0, start - _MARGIN), min(len(text), end + _MARGIN)
     for form in _FORMS[kind]:
         best = None
-        for m in form.finditer(text, low, high):
+        for m in form.finditer(text, low, high, overlapped=kind == "email"):
             a, b = m.span()
             if kind == "phone":
                 a += len(m.group(0)) - len(m.group(0).lstrip(" .-"))

@@ -117,28 +117,53 @@ class Tagger:
         return out, (gates, cells) if keep else None
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(T, B, tags) scores of windows x (T, B)."""
-        ahead, _ = self._run(x, "0", False)
-        back, _ = self._run(x[::-1], "1", False)
-        h = self.hidden
-        return ahead @ self.p["O"][:h] + back[::-1] @ self.p["O"][h:] + self.p["c"]
+        """(T, tags, B) scores of windows x (T, B). The layout has each gate as one
+        block of rows; the halving inside the logistic function is in the weights."""
+        steps, b = x.shape
+        h, k = self.hidden, len(TAGS)
+        half = np.ones(4 * h, np.float32)
+        half[: 3 * h] = 0.5
+        out = np.empty((steps, k, b), np.float32)
+        out[:] = self.p["c"].astype(np.float32)[None, :, None]
+        z, g, part = np.empty((4 * h, b), np.float32), np.empty((4 * h, b), np.float32), np.empty((h, b), np.float32)
+        for d in "01":
+            table = np.ascontiguousarray((self.p["P" + d] * half).T, np.float32)
+            u = np.ascontiguousarray((self.p["U" + d] * half).T, np.float32)
+            o = np.ascontiguousarray(self.p["O"][:h].T if d == "0" else self.p["O"][h:].T, np.float32)
+            state, cell = np.zeros((h, b), np.float32), np.zeros((h, b), np.float32)
+            for t in range(steps) if d == "0" else range(steps - 1, -1, -1):
+                np.matmul(u, state, out=z)
+                np.take(table, x[t], axis=1, out=g, mode="clip")
+                z += g
+                np.tanh(z, out=z)
+                gates = z[: 3 * h]
+                gates *= 0.5
+                gates += 0.5
+                cell *= z[h : 2 * h]
+                np.multiply(z[:h], z[3 * h :], out=part)
+                cell += part
+                np.tanh(cell, out=state)
+                state *= z[2 * h : 3 * h]
+                out[t] += o @ state
+        return out
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags (T, B) of windows x (T, B) under emissions and transitions."""
         e, a = self.emissions(x), self.p["A"].astype(np.float32)
-        steps, b, k = e.shape
+        steps, k, b = e.shape
         best = e[0].copy()
-        came = np.empty((steps, b, k), np.int8)
-        turned = np.ascontiguousarray(a.T)
+        came = np.empty((steps, k, b), np.int8)
+        ways = np.empty((k, k, b), np.float32)
         for t in range(1, steps):
-            ways = best[:, None, :] + turned[None]
-            came[t] = ways.argmax(axis=2)
-            best = np.take_along_axis(ways, came[t].astype(np.int64)[:, :, None], 2)[:, :, 0] + e[t]
+            np.add(best[:, None, :], a[:, :, None], out=ways)
+            came[t] = ways.argmax(axis=0)
+            np.max(ways, axis=0, out=best)
+            best += e[t]
         tags = np.empty((steps, b), np.int8)
-        tags[-1] = best.argmax(axis=1)
+        tags[-1] = best.argmax(axis=0)
         rows = np.arange(b)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = came[t, rows, tags[t]]
+            tags[t - 1] = came[t, tags[t], rows]
         return tags
 
     # --- training ------------------------------------------------------------
