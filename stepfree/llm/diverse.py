@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepfree.functions.geo import usable
 from stepfree.operators.ranking import hash_order, spread_rank
+from stepfree.session import cut
 
 #: Metres per degree of latitude.
 DEGREE_M = 111_195.0
@@ -47,7 +48,9 @@ def round_robin(cells: DataFrame, share: float | None = None, count: int | None
     if (share is None) == (count is None):
         raise ValueError("give either share or count")
     spark = cells.sparkSession
+    cells = cut(cells)
     ranked = spread_rank(cells.withColumn("_order", hash_order("id")), ["cell"], "_order", "rank_pos").drop("_order")
+    ranked = cut(ranked)
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     wanted = f"ceil(sum(size * n) over () * {share!r}D)" if share is not None else str(int(count))
     cut_row = spark.sql(
