@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfree.llm.pii import spread
+from stepfree.llm.pii import blocks_of, spread
 
 #: Word positions a seed reads (1) and ignores (0). Any 9 words with one of them
 #: changed still agree on a seed.
@@ -34,8 +34,11 @@ STOCK_WORDS = 6
 STOCK_ITEMS = 3
 #: Characters of items that one pass over the texts searches for.
 BLOCK_CHARS = 8_000_000
+#: Characters of texts searched at once in a worker; bounds its memory, not what is read.
+WORK_CHARS = 2_000_000
 _LEAST_SEGMENT = 5
 _GAP = 2
+_SHORT = 2000
 
 # fixed values: Cyrillic and Greek letters that look like Latin ones
 _LOOKS = str.maketrans("авеекмнорстухіјѕԁһɡӏԛԝαβεικνορτυχ", "abeekmhopctyxijsdhglqwabeikvoptux")
@@ -116,28 +119,46 @@ def _seed(tokens: np.ndarray) -> np.ndarray:
     return h
 
 
+def _rows(item: np.ndarray, text: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the alignment's scores, one per word of the item."""
+    slope = _GAP * np.arange(len(text) + 1)
+    above = np.zeros(len(text) + 1, np.int64)
+    for word in item:
+        row = np.maximum(above - _GAP, 0)
+        np.maximum(row[1:], above[:-1] + np.where(text == word, 1, -_GAP), out=row[1:])
+        above = np.maximum.accumulate(row + slope) - slope
+        yield above
+
+
 def _align(item: np.ndarray, text: np.ndarray) -> tuple[int, list[int], list[int]]:
     """Best local alignment: (score, matched item positions, matched text
-    positions); a match is worth 1, a changed, added or missing word costs `_GAP`."""
-    m, n = len(item), len(text)
-    score = np.zeros((m + 1, n + 1), np.int32)
-    slope = _GAP * np.arange(n + 1)
-    for i in range(1, m + 1):
-        step = np.where(text == item[i - 1], 1, -_GAP)
-        row = np.maximum(score[i - 1] - _GAP, 0)
-        np.maximum(row[1:], score[i - 1, :-1] + step, out=row[1:])
-        score[i] = np.maximum.accumulate(row + slope) - slope
+    positions); a match is worth 1, a changed, added or missing word costs `_GAP`.
+
+    In long texts the best end is found with one row in memory at a time; a
+    segment is at most one and a half times as long as the item, so the way back is
+    looked for in a piece of that length.
+    """
+    offset, piece = 0, text
+    if len(text) > _SHORT:
+        best, end = 0, 0
+        for row in _rows(item, text):
+            j = int(row.argmax())
+            if row[j] > best:
+                best, end = int(row[j]), j
+        offset = max(0, end - len(item) - len(item) // _GAP - 2)
+        piece = text[offset:end]
+    score = np.vstack([np.zeros(len(piece) + 1, np.int64), *_rows(item, piece)])
     best = int(score.max())
     i, j = np.unravel_index(int(score.argmax()), score.shape)
     at_item, at_text = [], []
     while i > 0 and j > 0 and score[i, j] > 0:
         here = score[i, j]
-        same = text[j - 1] == item[i - 1]
+        same = piece[j - 1] == item[i - 1]
         if here == score[i - 1, j - 1] + (1 if same else -_GAP):
             i, j = i - 1, j - 1
             if same:
                 at_item.append(int(i))
-                at_text.append(int(j))
+                at_text.append(offset + int(j))
         elif here == score[i - 1, j] - _GAP:
             i -= 1
         else:
@@ -310,9 +331,10 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
 
         def find(batches: Iterator[pa.RecordBatch], block: ItemBlock = block, index: list = index, ids: pa.Array = ids, counted: list[int] = counted) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for s in range(0, batch.num_rows, 2000):
-                    some = batch.slice(s, 2000)
-                    hits = _search(block, index, [words(t) for t in some.column(1).to_pylist()])
+                texts = batch.column(1).to_pylist()
+                for s, e in blocks_of(texts, WORK_CHARS):
+                    some = batch.slice(s, e - s)
+                    hits = _search(block, index, [words(t) for t in texts[s:e]])
                     hits = [h for h in hits if enough(h[2], counted[h[1]])]
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -84,11 +84,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def blocks_of(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts with about `chars` characters together."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= BLOCK_CHARS:
+        if size >= chars:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -121,7 +122,7 @@ def tag_mentions(df: DataFrame, key: str, text: str, model: Tagger | None = None
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
+            for a, b in blocks_of(texts, BLOCK_CHARS):
                 row, kinds, starts, stops, said = [], [], [], [], []
                 here = [t or "" for t in texts[a:b]]
                 for i, (t, spans) in enumerate(zip(here, _mentions(tagger, here))):
@@ -149,7 +150,7 @@ def redact(df: DataFrame, key: str, text: str, model: Tagger | None = None) -> D
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _blocks(texts):
+            for a, b in blocks_of(texts, BLOCK_CHARS):
                 here = texts[a:b]
                 out: list[str | None] = []
                 count = []

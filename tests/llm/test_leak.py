@@ -102,3 +102,10 @@ def test_one_letter_runs_and_long_texts():
     text = ["w1"] * 5000 + [f"w{i}" for i in range(30)] + ["x"] * 50_000
     (hit,) = [h for h in L._search(block, block.index(), [text]) if L.enough(h[2], 30)]
     assert hit[:3] == (0, 0, 30)
+
+
+def test_a_text_that_repeats_the_item_all_over():
+    said = [f"w{i}" for i in range(40)]
+    block = L.ItemBlock.of([(1, said, [])])
+    (hit,) = [h for h in L._search(block, block.index(), [said * 5000]) if L.enough(h[2], 40)]
+    assert hit == (0, 0, 40)
