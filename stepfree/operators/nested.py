@@ -286,10 +286,10 @@ def valid_points(records: DataFrame) -> DataFrame:
     by_child = {(e.parent, e.child): e for e in PREDICTIONS.edges}
     items = records.select("key", F.posexplode(_children("v", by_child["record", "item"], ())).alias("item_pos", "v"))
     items = items.select("key", "item_pos", "v", scalar("v", "$.image_id", "label").alias("image_id"))
-    items = items.where(F.trim("image_id") != "")
+    items = items.where(F.col("image_id").rlike(r"\S"))
     dets = items.select("key", "item_pos", "image_id", F.posexplode(_children("v", by_child["item", "detection"], ())).alias("det_pos", "v"))
     dets = dets.select("*", scalar("v", "$.class_name", "text").alias("class_name"), scalar("v", "$.confidence", "number").alias("confidence"))
-    dets = dets.where((F.trim("class_name") != "") & (F.col("confidence") > 0))
+    dets = dets.where(F.col("class_name").rlike(r"\S") & (F.col("confidence") > 0))
     points = dets.select("*", F.posexplode(_children("v", by_child["detection", "point"], ())).alias("point_pos", "p")).drop("v")
     pair = F.expr(f"try_variant_get(p, '$', '{_VARIANTS}')")
     points = points.withColumn("pair", pair).where(F.size("pair") == 2)

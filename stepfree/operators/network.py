@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from stepfree.functions import tags as T
 from stepfree.functions.cost import CostConfig, edge_cost
 from stepfree.functions.geo import add_projection
-from stepfree.functions.labels import evidence_attribute
+from stepfree.functions.labels import evidence_attribute, lookup
 from stepfree.functions.tags import ABSENT, PRESENT, UNKNOWN
+from stepfree.functions.vision import pinhole_width
 
 KEY = ["u", "v", "k"]
 MOST_SNAP_M = 25.0
@@ -152,6 +153,32 @@ def image_evidence(assigned: DataFrame, detections: DataFrame) -> DataFrame:
     return joined.groupBy(*KEY).agg(*[F.max(a).alias(a) for a in kinds], F.count(F.lit(1)).alias("n_images"))
 
 
+def picture_geometry(images: DataFrame, detections: DataFrame, height: float, slopes: DataFrame | None = None) -> DataFrame:
+    """(image_id, width_bucket_uncalibrated_estimate, ramp_declivity_pct): the
+    narrowest walkway seen, and the terrain's slope where a kerb ramp is seen.
+    `slopes` is (image_id, slope). Kept apart from the attributes: neither may
+    stand in for a measured width or a tag."""
+    key, order = F.col("class_key"), {w: i for i, w in enumerate(T.WIDTHS)}
+    width = F.when(key.isin("sidewalk", "pedestrian-area"), pinhole_width(F.col("points"), F.lit(height)))
+    seen = detections.select("image_id", lookup(width, order).alias("w"), (key == "curb-cut").cast("int").alias("ramp"))
+    per = seen.groupBy("image_id").agg(F.min("w").alias("w"), F.max("ramp").alias("ramp"))
+    per = per.select("image_id", F.coalesce(*[F.when(F.col("w") == i, w) for w, i in order.items()]).alias("width_bucket_uncalibrated_estimate"), "ramp")
+    out = images.select("image_id").join(per, "image_id")
+    slope = F.lit(None).cast("double")
+    if slopes is not None:
+        out = out.join(slopes, "image_id", "left")
+        slope = F.when(F.col("ramp") == 1, F.floor(F.col("slope") * 100 + 0.5) / 100)
+    return out.select("image_id", "width_bucket_uncalibrated_estimate", slope.alias("ramp_declivity_pct"))
+
+
+def edge_geometry(assigned: DataFrame, per_image: DataFrame) -> DataFrame:
+    """(u, v, k, width..., ramp_declivity_pct): narrowest width and steepest ramp of an edge's images."""
+    order = {w: i for i, w in enumerate(T.WIDTHS)}
+    rows = assigned.join(per_image, "image_id").withColumn("w", lookup(F.col("width_bucket_uncalibrated_estimate"), order))
+    done = rows.groupBy(*KEY).agg(F.min("w").alias("w"), F.max("ramp_declivity_pct").alias("ramp_declivity_pct"))
+    return done.select(*KEY, F.coalesce(*[F.when(F.col("w") == i, w) for w, i in order.items()]).alias("width_bucket_uncalibrated_estimate"), "ramp_declivity_pct")
+
+
 def is_missing(c: Column) -> Column:
     return c.isNull() | (c == UNKNOWN)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfree.functions.cost import slope_factor
+from stepfree.functions.cost import CostConfig, slope_factor
 from stepfree.functions.geo import add_projection, projected, zone_meridian
 from stepfree.functions.stats import fixed, wilcoxon
 from stepfree.operators import metrics as M
 from stepfree.operators import network as N
 from stepfree.operators import raster as R
 from stepfree.operators import routing, sampling, snapshots
+from stepfree.operators.audit import ledger
 from stepfree.plans import street as S
 from stepfree.plans.street import _EDGES, _LABELS, _ONE, _SLOPE, _costed, _fix
 from stepfree.session import cut, table
@@ -113,6 +114,44 @@ def seed_stability(s: SparkSession, d: str) -> DataFrame:
     return M.mean_sd(rates, ["metric"], "value")
 
 
+def slope_models(s: SparkSession, d: str) -> DataFrame:
+    """The headline comparison when a ramp's discount may and may not offset a slope."""
+    pairs = cut(sampling.od_pairs(S.nodes(s, d), PAIRS // 4).select("pair_id", "o", "d"))
+    out = None
+    for name, protect in (("naive", False), ("protected", True)):
+        rows = N.condition_edges(S.validated(s, d), config=CostConfig(protect_slope=protect)).where("condition in ('baseline', 'full_validated')")
+        r = cut(routing.routes(N.parallel_min(rows), pairs))
+        part = M.compare(M.paired(M.hazards(r, S.validated(s, d))), ["condition"]).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("model", "n_solved", "n_differ", "n_regression", "improvement_rate_of_differ")
+
+
+def decomposition(s: SparkSession, d: str) -> DataFrame:
+    """(condition, outcome, share): what became of all solved pairs, the data of the outcome figures."""
+    c = compare_conditions(s, d)
+    kinds = ["unchanged", "improvement", "regression", "neutral", "mixed"]
+    pairs = ", ".join(f"'{k}', n_{k}" for k in kinds)
+    long = c.selectExpr("condition", "n_solved", f"stack({len(kinds)}, {pairs}) as (outcome, n)")
+    return long.select("condition", "outcome", F.when(F.col("n_solved") > 0, F.col("n") / F.col("n_solved")).otherwise(0.0).alias("share"))
+
+
+def overlay_pair(s: SparkSession, d: str) -> DataFrame:
+    """The first pair whose fully informed route meets strictly fewer obstacles."""
+    better = _paired(s, d).where("condition = 'full_validated' and obstacles_full < obstacles_base")
+    return better.agg(F.min(F.struct("pair_id", "obstacles_base", "obstacles_full")).alias("p")).where("p is not null").select("p.*")
+
+
+def claims(s: SparkSession, d: str) -> DataFrame:
+    """Figures that must hold for any input, as a ledger: parts that sum to their whole."""
+    c = compare_conditions(s, d).where("condition = 'full_validated'")
+    figures = c.selectExpr(
+        "stack(3, 'outcomes', cast(n_improvement + n_regression + n_neutral + n_mixed - n_differ as double), 'solved', cast(n_unchanged + n_differ - n_solved as double),"
+        " 'rate', route_diff_rate * n_solved - n_differ) as (claim, value)"
+    )
+    expected = s.createDataFrame([("outcomes", 0.0), ("solved", 0.0), ("rate", 0.0)], "claim string, expected double")
+    return ledger(figures, expected)
+
+
 def slope_factors(s: SparkSession, d: str) -> DataFrame:
     return S.edges(s, d).select("u", "v", "k", fixed(slope_factor(F.coalesce("grade_abs", F.lit(0.0)))).alias("factor"))
 
@@ -197,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         od_sample, shortest_routes, shortest_path_hops, route_hazards, route_overlap, compare_conditions, results_json, detection_error_gap, improvement_by_band,
-        threshold_sensitivity, weight_sweep, seed_stability, slope_factors, cost_ratio_cap, ecdf_cost, mean_sd_cost, median_cost, bootstrap_labels, wilcoxon_costs,
+        threshold_sensitivity, weight_sweep, seed_stability, slope_models, decomposition, overlay_pair, claims, slope_factors, cost_ratio_cap, ecdf_cost, mean_sd_cost, median_cost, bootstrap_labels, wilcoxon_costs,
         label_sample, snapshot_diff, slope_raster, raster_sample, densify_lines, elevation_grid,
     )
 } | {"raster_stats": lambda s, d: R.stats(R.clean_cells(_cells(s, d)))}

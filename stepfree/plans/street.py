@@ -10,6 +10,7 @@ from stepfree.functions.labels import BARRIER_WEIGHT, CLASS_OF_KEY, CLASSES, EVI
 from stepfree.functions.polygon import shoelace_area, valid_points
 from stepfree.functions.stats import fixed
 from stepfree.functions.text import class_key
+from stepfree.operators import audit
 from stepfree.operators import detections as D
 from stepfree.operators import images as I
 from stepfree.operators import network as N
@@ -180,7 +181,40 @@ def utm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("image_id", "zone", fixed(F.col("east"), 3).alias("east"), fixed(F.col("north"), 3).alias("north"), fixed(F.col("lat"), 6).alias("lat"), fixed(F.col("lon"), 6).alias("lon"))
 
 
+def place_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = images(spark, sf).withColumn("town", F.lower(F.trim("city"))).where("town <> ''")
+    return audit.bounds(rows, "latitude", "longitude", ["town"])
+
+
+def images_with_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return placed(spark, sf).join(dets(spark, sf), "image_id", "left_semi").select("image_id")
+
+
+def edge_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Widths and slopes seen along edges; the slope table is the image's heading
+    read as a percentage, as there is no raster of the towns."""
+    slopes = images(spark, sf).select("image_id", (F.col("compass_angle") / 10).alias("slope"))
+    return N.edge_geometry(mirrored(spark, sf), N.picture_geometry(images(spark, sf), dets(spark, sf), FRAME_H, slopes))
+
+
+def label_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.value_audit(table(spark, sf, "seg_labels"), ["attribute", "verdict"])
+
+
+def field_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The worklist with its label and the place to go to; segments without a place have nulls."""
+    at = N.segment_midpoints(edges(spark, sf), nodes(spark, sf))
+    rows = work(spark, sf).join(labels(spark, sf), ["segment_id", "attribute"], "left").join(at, "segment_id", "left")
+    url = F.concat(F.lit("https://maps.example/?q="), fixed(F.col("lat"), 6).cast("string"))
+    return rows.select("segment_id", "attribute", "image_id", F.coalesce("verdict", F.lit("")).alias("verdict"), fixed(F.col("lat"), 6).alias("lat"), fixed(F.col("lon"), 6).alias("lon"), url.isNotNull().alias("has_link"))
+
+
 QUERIES = {
+    "place_bounds": place_bounds,
+    "images_with_predictions": images_with_predictions,
+    "edge_geometry": edge_geometry,
+    "label_audit": label_audit,
+    "field_list": field_list,
     "image_dedupe": lambda s, d: images(s, d).select("image_id", "image_path", "captured_at", "split"),
     "image_flatten": image_flatten,
     "csv_alias_required": csv_alias_required,
@@ -391,6 +425,29 @@ _WORK = f"""work as (
            count(*) as n_detections, count(distinct image_id) as n_images from work group by segment_id, attribute)"""
 
 ORACLE = {
+    "place_bounds": f"""with {_PLACED} select lower(trim(city, ' ')) as town, min(longitude) as west, min(latitude) as south, max(longitude) as east, max(latitude) as north
+        from placed where trim(city, ' ') <> '' group by 1""",
+    "images_with_predictions": f"with {_PLACED}, {_DETS} select image_id from placed p where exists (select 1 from dets d where d.image_id = p.image_id)",
+    "edge_geometry": f"""with {_PLACED}, {_DETS}, {_EDGES}, {_SNAP},
+        m as (select *, list_max({_YS.format(p="points")}) as low from dets),
+        b as (select *, list_filter(points, lambda q: low - q[2] <= greatest(2.0, 768.0 * 0.02)) as near, atan((low - 768.0::double / 2) / {_FOCAL}) as angle from m),
+        w as (select image_id, class_key, case when class_key in ('sidewalk', 'pedestrian-area') and len(points) >= 3 and angle > 0 then
+              (list_max({_XS.format(p="(case when len(near) >= 2 then near else points end)")}) - list_min({_XS.format(p="(case when len(near) >= 2 then near else points end)")}))
+              * (1.5::double / tan(angle) / {_FOCAL}) end as width from b),
+        i as (select image_id, min(case when width < 0.5 then 0 when width < 0.9 then 1 when width is not null then 2 end) as w, max((class_key = 'curb-cut')::int) as ramp from w group by image_id),
+        g as (select image_id, w, case when ramp = 1 then floor(compass_angle / 10 * 100 + 0.5) / 100 end as s from i join images using (image_id)),
+        e as (select u, v, k, min(w) as w, max(s) as s from mirrored join g using (image_id) group by u, v, k)
+        select u, v, k, case w when 0 then 'under_50cm' when 1 then '50_to_90cm' when 2 then 'over_90cm' end as width_bucket_uncalibrated_estimate, s as ramp_declivity_pct from e""",
+    "label_audit": " union all ".join(
+        f"""select '{c}' as "column", count(*) as n, count(*) filter (where {c} is null) as n_null, count(distinct {c}) as n_different,
+        (select string_agg(x, ';' order by x) from (select distinct {c} as x from seg_labels where {c} is not null order by x limit 20)) as first_values from seg_labels"""
+        for c in ("attribute", "verdict")
+    ),
+    "field_list": f"""with {_PLACED}, {_DETS}, {_EDGES}, {_SNAP}, {_WORK}, {_LABELS}, at_mid as (
+          select {_SEG.format(u="u", v="v", k="k")} as segment_id, min((a.y + b.y, a.x + b.x))[1] / 2 as lat, min((a.y + b.y, a.x + b.x))[2] / 2 as lon
+          from edges e left join nodes a on a.node_id = e.u left join nodes b on b.node_id = e.v group by 1)
+        select w.segment_id, w.attribute, w.image_id, coalesce(l.verdict, '') as verdict, {_fix("lat")} as lat, {_fix("lon")} as lon, lat is not null as has_link
+        from worklist w left join labels l using (segment_id, attribute) left join at_mid using (segment_id)""",
     "image_dedupe": f"with {_IMAGES} select image_id, image_path, captured_at, split from images",
     "image_flatten": f"""with {_IMAGES} select 'somewhere' as city, count(*) as n, count(compass_angle) as n_heading, count(case when {_USABLE} then 1 end) as n_usable
         from images where image_path is not null and image_path <> '' and not coalesce(isnan(latitude), false) and not coalesce(isnan(longitude), false) and not coalesce(isnan(compass_angle), false)""",

@@ -133,3 +133,28 @@ def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.format("image_tiles").load(folder).withColumn("i", F.from_json("json", RAW_IMAGE)).where("i.id <> ''")
     best = rows.groupBy(F.col("i.id").alias("id")).agg(F.min_by(F.struct("tile", "near_cap", "json"), F.struct("tile", "json")).alias("b"))
     return best.select("id", "b.tile", "b.near_cap", "b.json")
+
+
+def read_lines(spark: SparkSession, path: str, elevation: str) -> DataFrame:
+    """(line_id, z, vertices) of GeoJSON LineString features; other geometries and
+    lines without elevation or with fewer than two vertices are dropped."""
+    shape = f"features array<struct<geometry:struct<type:string,coordinates:array<array<double>>>,properties:struct<`{elevation}`:double>>>"
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", shape).alias("d"))
+    rows = text.select("file", F.posexplode("d.features").alias("n", "f"))
+    good = rows.where("f.geometry.type = 'LineString'").select(
+        F.concat_ws("#", "file", F.col("n").cast("string")).alias("line_id"), F.col(f"f.properties.`{elevation}`").alias("z"), F.col("f.geometry.coordinates").alias("vertices")
+    )
+    return good.where("z is not null and size(vertices) >= 2")
+
+
+def segments(lines: DataFrame) -> DataFrame:
+    """(line_id, part, x0, y0, x1, y1, z): the straight parts of lines, for `densify`."""
+    pair = F.expr("transform(sequence(0, size(vertices) - 2), i -> struct(vertices[i] as a, vertices[i + 1] as b))")
+    rows = lines.select("line_id", "z", F.posexplode(pair).alias("part", "s"))
+    return rows.select("line_id", "part", *[F.col(f"s.{p}")[i].alias(n) for p, i, n in (("a", 0, "x0"), ("a", 1, "y0"), ("b", 0, "x1"), ("b", 1, "y1"))], "z")
+
+
+def read_pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """(image_id, content, length) of picture files; the id is the file's name."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("image_id"), "content", "length")

@@ -50,6 +50,14 @@ def geojson(points: DataFrame, lat: str, lon: str) -> DataFrame:
     return points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.to_json(shape).alias("feature"))
 
 
+def write_labels(labels: DataFrame, path: str) -> None:
+    """A label store: one JSON object keyed by segment|attribute, keys sorted. Stores
+    are kept by hand and small; labels at scale are the table itself."""
+    entry = F.struct(F.concat_ws("|", "segment_id", "attribute").alias("k"), F.struct("verdict", "note").alias("l"))
+    store = labels.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    store.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_predictions(dets: DataFrame, path: str) -> None:
     """One JSON line per image with its detections; images without any are not written."""
     rows = dets.groupBy("image_id").agg(F.collect_list(F.struct("class_name", "confidence", "polygon_xy")).alias("detections"))
