@@ -28,6 +28,28 @@ ORACLE: dict[str, str] = {
           select *, row_number() over (order by rank_pos, md5(cell)) as n, count(*) over () as total from ranked
         )
         select id as image_id, cell, rank_pos from placed where n <= ceil(total * 0.1::double)""",
+    "p3_found": f"""
+        with recursive rows_ as (
+          select image_id as id, min(struct_pack(lat := latitude, lon := longitude)) as p from manifest where image_id is not null and {_USABLE} group by image_id
+        ), v as (
+          select id, cos(radians(p.lat)) * cos(radians(p.lon)) as x, cos(radians(p.lat)) * sin(radians(p.lon)) as y, sin(radians(p.lat)) as z from rows_
+        ), cells as (select *, floor(x * 400000)::bigint as cx, floor(y * 400000)::bigint as cy, floor(z * 400000)::bigint as cz from v
+        ), around as (
+          select id, x, y, z, cx + dx as cx, cy + dy as cy, cz + dz as cz from cells,
+            (select unnest([-1, 0, 1]) as dx), (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dz)
+        ), links as (
+          select a.id as a, b.id as b from cells a join around b using (cx, cy, cz)
+          where pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= pow(2 * sin(15.0 / 6371008.8 / 2), 2)
+        ), walk as (
+          select a as node, b as root from links union select links.a, walk.root from links join walk on links.b = walk.node
+        ), groups_ as (select node, min(root) as group_id from walk group by node
+        ), recorded as (
+          select image_id, min(case when s = 'validation' then 'val' when s <> '' then s end) as s from (
+            select image_id, lower(trim(split, ' ')) as s from manifest) group by image_id
+        ), torn as (
+          select group_id from groups_ join recorded on image_id = node group by group_id having min(s) <> max(s)
+        )
+        select node as image_id, group_id from groups_ join torn using (group_id)""",
     "p5_found": """
         with rows_ as (
           select distinct trim(image_id, ' ') as image_id, det_id,
