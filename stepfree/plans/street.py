@@ -395,7 +395,7 @@ def _costed(grid: str) -> str:
 
 
 _ONE = "select 0 as cfg_id, 0.8::double as discount, 25.0::double as penalty"
-_NINE = "select i * 3 + j as cfg_id, ([0.7, 0.8, 0.9])[i + 1]::double as discount, ([15.0, 25.0, 40.0])[j + 1]::double as penalty from range(3) a(i), range(3) b(j)"
+_NINE = "select (i * 3 + j)::integer as cfg_id, ([0.7, 0.8, 0.9])[i + 1]::double as discount, ([15.0, 25.0, 40.0])[j + 1]::double as penalty from range(3) a(i), range(3) b(j)"
 _W, _S, _E, _N = (f"{x!r}::double" for x in BOX)
 _COVER = ", ".join(f"'{t}'" for t in T.WAY_TAGS)
 _SCORE = " ".join(f"when '{c}' then {w!r}" for c, w in BARRIER_WEIGHT.items())
