@@ -25,8 +25,9 @@ def clean(df: DataFrame) -> DataFrame:
         "det_id", F.trim("image_id").alias("image_id"), "class_name", class_key(F.col("class_name")).alias("class_key"),
         "confidence", valid_points(F.col("polygon_xy")).alias("points"),
     )
-    rows = rows.where("image_id <> '' and class_key <> '' and size(points) > 0").dropDuplicates(["det_id"])
-    return rows.withColumn("area", shoelace_area(F.col("points")))
+    rows = rows.where("image_id <> '' and class_key <> '' and size(points) > 0")
+    # the area comes before the shuffle, so that polygons are shuffled only where a query reads them
+    return rows.withColumn("area", shoelace_area(F.col("points"))).dropDuplicates(["det_id"])
 
 
 def mapped(df: DataFrame) -> DataFrame:

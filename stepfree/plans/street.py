@@ -23,13 +23,21 @@ CITY = "ombrel alto"
 DISCOUNTS, PENALTIES = [0.7, 0.8, 0.9], [15.0, 25.0, 40.0]
 
 
-def images(spark: SparkSession, sf: str) -> DataFrame:
-    return I.first_delivery(table(spark, sf, "manifest"), "image_id", "ingested_at", "image_path", "captured_at")
+_DELIVERY = ("ingested_at", "image_path", "captured_at")
+
+
+def images(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The first delivery of each image; only the given columns are read and kept."""
+    rows = table(spark, sf, "manifest")
+    if columns:
+        rows = rows.select(*dict.fromkeys(("image_id", *columns, *_DELIVERY)))
+    return I.first_delivery(rows, "image_id", *_DELIVERY)
 
 
 def placed(spark: SparkSession, sf: str) -> DataFrame:
     """Images with a usable position, one row each."""
-    return images(spark, sf).where(geo.usable(F.col("latitude"), F.col("longitude")))
+    rows = images(spark, sf, "latitude", "longitude", "compass_angle", "captured_at")
+    return rows.where(geo.usable(F.col("latitude"), F.col("longitude")))
 
 
 def dets(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +104,7 @@ def image_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_alias_required(spark: SparkSession, sf: str) -> DataFrame:
-    return images(spark, sf).select("image_id", I.required("city", "split", "image_id").alias("place"))
+    return images(spark, sf, "city", "split").select("image_id", I.required("city", "split", "image_id").alias("place"))
 
 
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +190,7 @@ def utm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def place_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = images(spark, sf).withColumn("town", F.lower(F.trim("city"))).where("town <> ''")
+    rows = images(spark, sf, "city", "latitude", "longitude").withColumn("town", F.lower(F.trim("city"))).where("town <> ''")
     return audit.bounds(rows, "latitude", "longitude", ["town"])
 
 
@@ -193,8 +201,8 @@ def images_with_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def edge_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Widths and slopes seen along edges; the slope table is the image's heading
     read as a percentage, as there is no raster of the towns."""
-    slopes = images(spark, sf).select("image_id", (F.col("compass_angle") / 10).alias("slope"))
-    return N.edge_geometry(mirrored(spark, sf), N.picture_geometry(images(spark, sf), dets(spark, sf), FRAME_H, slopes))
+    slopes = images(spark, sf, "compass_angle").select("image_id", (F.col("compass_angle") / 10).alias("slope"))
+    return N.edge_geometry(mirrored(spark, sf), N.picture_geometry(images(spark, sf, "image_id"), dets(spark, sf), FRAME_H, slopes))
 
 
 def label_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,10 +227,10 @@ QUERIES = {
     "image_flatten": image_flatten,
     "csv_alias_required": csv_alias_required,
     "tile_grid": tile_grid,
-    "bbox_filter": lambda s, d: I.in_box(images(s, d), "latitude", "longitude", *BOX).select("image_id", "latitude", "longitude"),
-    "city_filter": lambda s, d: I.in_city(images(s, d), CITY).select("image_id", "city"),
-    "hash_split": lambda s, d: images(s, d).select("image_id", I.hash_split(F.col("image_id"), 0.85).alias("part")),
-    "shard_manifest": lambda s, d: I.shards(images(s, d).select("image_id", I.hash_split(F.col("image_id"), 0.85).alias("part")), "image_id", "part", 500),
+    "bbox_filter": lambda s, d: I.in_box(images(s, d, "latitude", "longitude"), "latitude", "longitude", *BOX).select("image_id", "latitude", "longitude"),
+    "city_filter": lambda s, d: I.in_city(images(s, d, "city"), CITY).select("image_id", "city"),
+    "hash_split": lambda s, d: images(s, d, "image_id").select("image_id", I.hash_split(F.col("image_id"), 0.85).alias("part")),
+    "shard_manifest": lambda s, d: I.shards(images(s, d, "image_id").select("image_id", I.hash_split(F.col("image_id"), 0.85).alias("part")), "image_id", "part", 500),
     "downselect_topk": lambda s, d: I.downselect(images(s, d)).select("image_id", "zone", "quadrant"),
     "utm_round_trip": utm_round_trip,
     "label_remap": label_remap,
