@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,16 @@ def projected(rows: str, lat: str, lon: str, meridian: str) -> str:
                        sinh(atanh(sin(radians({lat}))) - {_d(_E)} * atanh({_d(_E)} * sin(radians({lat})))) as tm_t from {rows}) tm_1) tm_2"""
 
 
+def project(lat: np.ndarray, lon: np.ndarray, meridian: np.ndarray | float) -> np.ndarray:
+    """(east, north) in metres of arrays of positions, as `projected` has them."""
+    dl, phi = np.radians(lon - meridian), np.sin(np.radians(lat))
+    t = np.sinh(np.arctanh(phi) - _E * np.arctanh(_E * phi))
+    xi, eta = np.arctan2(t, np.cos(dl)), np.arctanh(np.sin(dl) / np.sqrt(1 + t * t))
+    east = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    north = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    return np.column_stack([FALSE_EAST + SCALE * _A * east, FALSE_NORTH + SCALE * _A * north])
+
+
 def unprojected(rows: str, east: str, north: str, meridian: str) -> str:
     """SQL that adds lat, lon (degrees) to `rows`: the inverse of `projected`."""
     xi = " - ".join(["tm_x0", *[f"{_d(b)} * sin({2 * j} * tm_x0) * cosh({2 * j} * tm_e0)" for j, b in enumerate(_BETA, 1)]])

@@ -101,6 +101,37 @@ class KDTree:
             if len(k):
                 yield ma[k, i], mb[k, j]
 
+    def nearest(self, queries: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(number, squared distance) of the point nearest each query, ties to the
+        least number; number -1 where the tree is empty. A level at a time: a box is
+        left when its near side lies beyond the far side of another."""
+        best, least = np.full(len(queries), -1), np.full(len(queries), np.inf)
+        if not len(self.points):
+            return best, least
+        members = self._members(self.depth)
+        for s in range(0, len(queries), block):
+            at = queries[s : s + block]
+            q, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+            for level in range(self.depth + 1):
+                if level:
+                    q, node = np.repeat(q, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+                low, high, x = self.low[level][node], self.high[level][node], at[q]
+                filled = low[:, 0] <= high[:, 0]
+                q, node, low, high, x = q[filled], node[filled], low[filled], high[filled], x[filled]
+                gap, span = np.maximum(0.0, np.maximum(low - x, x - high)), np.maximum(high - x, x - low)
+                near, far = (gap * gap).sum(axis=1), (span * span).sum(axis=1)
+                bound = np.full(len(at), np.inf)
+                np.minimum.at(bound, q, far)
+                keep = near <= bound[q] * (1 + 1e-12)
+                q, node = q[keep], node[keep]
+            m = members[node]
+            d2 = ((self.points[m] - at[q][:, None, :]) ** 2).sum(axis=2)
+            d2, m, q = np.where(m >= 0, d2, np.inf).ravel(), m.ravel(), np.repeat(q, m.shape[1])
+            order = np.lexsort((m, d2, q))
+            first = order[np.unique(q[order], return_index=True)[1]]
+            best[s + q[first]], least[s + q[first]] = m[first], d2[first]
+        return best, least
+
     def components(self, radius: float) -> np.ndarray:
         """Label of each point: the number of the least point of its group, where
         points at most `radius` apart belong together, transitively.

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfree.functions import tags as T
 from stepfree.functions.cost import CostConfig, edge_cost
-from stepfree.functions.geo import add_projection
+from stepfree.functions.geo import EARTH_RADIUS_M, add_projection, project
 from stepfree.functions.labels import evidence_attribute, lookup
 from stepfree.functions.tags import ABSENT, PRESENT, UNKNOWN
 from stepfree.functions.vision import pinhole_width
+from stepfree.operators.kdtree import KDTree
 
 KEY = ["u", "v", "k"]
 MOST_SNAP_M = 25.0
 _CELL_M = 50.0
+#: Up to so many metres the nearest node is measured on the projection plane; nodes a search task is sent at once.
+PLANE_M, NODE_BLOCK = 100_000.0, 200_000
 
 # fixed values: default of a missing attribute, by policy
 DEFAULTS = {
@@ -320,19 +326,66 @@ def segment_midpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return seg.groupBy("segment_id").agg(F.min("m").alias("m")).select("segment_id", (F.col("m.y") / 2).alias("lat"), (F.col("m.x") / 2).alias("lon"))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str, reach_m: float = 400.0) -> DataFrame:
-    """(key, node_id, dist): nearest node on the projection plane, ties to the least
-    node_id; points with no node within `reach_m` are left out. Nodes are laid into
-    cells of that width, a point looks into nine."""
-    at = add_projection(nodes.select("node_id", "x", "y"), "y", "x").select("node_id", "zone", F.col("east").alias("ne"), F.col("north").alias("nn"))
-    at = at.withColumns({"cx": F.floor(F.col("ne") / reach_m), "cy": F.floor(F.col("nn") / reach_m)})
-    p = add_projection(points.select(key, lat, lon), lat, lon)
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    p = p.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    p = p.select(key, "zone", "east", "north", (F.floor(F.col("east") / reach_m) + F.col("_dx")).alias("cx"), (F.floor(F.col("north") / reach_m) + F.col("_dy")).alias("cy"))
-    dx, dy = F.col("east") - F.col("ne"), F.col("north") - F.col("nn")
-    near = p.join(at, ["zone", "cx", "cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= reach_m)
-    return near.groupBy(key).agg(F.min(F.struct("dist", "node_id")).alias("b")).select(key, "b.node_id", "b.dist")
+def nearest_node(points: DataFrame, nodes: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """(key, node_id, dist): nearest node of every point on the globe, ties to the
+    least node_id. Within `PLANE_M` the distance is that on the plane of the point's
+    own 6-degree zone, whichever zone the node is in; beyond it, and past 84 degrees,
+    that on the great circle. Nodes are sent to the tasks in blocks of at most
+    about `NODE_BLOCK`; the nearest of all blocks holds."""
+    spark = points.sparkSession
+    inside = lambda y, x: (F.abs(y) <= 90) & (F.abs(x) <= 180)
+    known = nodes.where("node_id is not null").where(inside(F.col("y"), F.col("x"))).select("node_id", F.col("y").cast("double"), F.col("x").cast("double"))
+    p = points.where(inside(F.col(lat), F.col(lon))).select(F.col(key), F.col(lat).cast("double"), F.col(lon).cast("double"))
+    kind, id_kind = p.schema[key].dataType.simpleString(), known.schema["node_id"].dataType.simpleString()
+    blocks = max(1, -(-known.count() // NODE_BLOCK))
+    out = None
+    for i in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("node_id"), F.lit(blocks)) == i).toPandas().sort_values("node_id")
+        search = _nearest_in(spark.sparkContext.broadcast((rows["node_id"].to_numpy(), rows["y"].to_numpy(), rows["x"].to_numpy())))
+        part = p.mapInArrow(search, f"`{key}` {kind}, node_id {id_kind}, plane boolean, dist double")
+        out = part if out is None else out.unionByName(part)
+    best = F.min(F.struct((~F.col("plane")).alias("far"), "dist", "node_id"))
+    return out.groupBy(key).agg(best.alias("b")).select(key, "b.node_id", "b.dist")
+
+
+def _nearest_in(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        phi, lam = np.radians(lat), np.radians(lon)
+        return np.column_stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, x = shared.value
+        if not len(ids):
+            return
+        globe, planes = KDTree(vectors(y, x)), {}
+
+        def plane(meridian: float) -> tuple[np.ndarray, KDTree]:
+            """The nodes that may lie within reach of the zone's points, on its plane."""
+            if meridian not in planes:
+                off = np.abs((x - meridian + 180) % 360 - 180)
+                reach = 3 + np.degrees(1.02 * PLANE_M / 6_335_000) / np.cos(np.radians(np.minimum(np.abs(y) + 1, 88)))
+                some = np.flatnonzero((off <= reach) & (np.abs(y) <= 86))
+                planes[meridian] = some, KDTree(project(y[some], x[some], meridian))
+            return planes[meridian]
+
+        for batch in batches:
+            lat, lon = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            best, dist, on_plane = np.full(len(lat), -1), np.full(len(lat), np.inf), np.zeros(len(lat), bool)
+            meridians = np.minimum(np.floor((lon + 180) / 6), 59) * 6 - 177
+            for meridian in np.unique(meridians):
+                here = np.flatnonzero((meridians == meridian) & (np.abs(lat) <= 84))
+                some, tree = plane(float(meridian))
+                if len(here) and len(some):
+                    found, d2 = tree.nearest(project(lat[here], lon[here], meridian))
+                    hit = d2 <= PLANE_M * PLANE_M
+                    best[here[hit]], dist[here[hit]], on_plane[here[hit]] = some[found[hit]], np.sqrt(d2[hit]), True
+            far = np.flatnonzero(~on_plane)
+            if len(far):
+                best[far], d2 = globe.nearest(vectors(lat[far], lon[far]))
+                dist[far] = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(np.sqrt(d2) / 2, 1.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[best]), pa.array(on_plane), pa.array(dist)], [batch.schema.names[0], "node_id", "plane", "dist"])
+
+    return search
 
 
 def greedy_order(stops: list[tuple[str, float, float]]) -> list[str]:
