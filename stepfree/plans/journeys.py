@@ -17,7 +17,7 @@ from stepfree.plans import street as S
 from stepfree.plans.street import _EDGES, _LABELS, _ONE, _SLOPE, _costed, _fix
 from stepfree.session import cut, table
 
-PAIRS, HOPS, SOURCES, REPS = 200, 4, 8, 200
+PAIRS, HOPS, REPS = 200, 4, 200
 MARGINS, STEEPS = [0.0, 2.5, 5.0, 10.0], [0.05, 0.0833, 0.1]
 
 
@@ -46,11 +46,9 @@ def shortest_routes(s: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_path_hops(s: SparkSession, d: str) -> DataFrame:
-    """Least cost from the first few nodes with at most `HOPS` edges."""
-    pairs = S.nodes(s, d).orderBy("node_id").limit(SOURCES).select(F.col("node_id").alias("o"))
-    parallel = _parallel(s, d).where("condition = 'full_raw'")
-    out = routing.relax_labels(parallel, pairs, HOPS)
-    return out.select("o", "node", fixed(F.col("dist"), 4).alias("dist"))
+    """Least cost from every node to every node it reaches, under every condition."""
+    out = routing.least_costs(_parallel(s, d), S.nodes(s, d).select(F.col("node_id").alias("o")))
+    return out.select("condition", "o", "node", fixed(F.col("dist"), 4).alias("dist"))
 
 
 def route_hazards(s: SparkSession, d: str) -> DataFrame:

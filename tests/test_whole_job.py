@@ -1,6 +1,10 @@
 """Operators that once did a part of their job only."""
 
 from stepfree.operators import network as N
+from stepfree.operators import routing
+from stepfree.plans import journeys, street
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_every_point_has_its_nearest_node(spark):
@@ -32,3 +36,30 @@ def test_every_point_has_its_nearest_node(spark):
     finally:
         N.NODE_BLOCK = split
     assert N.nearest_node(points, nodes.limit(0), "id", "lat", "lon").count() == 0 and N.nearest_node(points.limit(0), nodes, "id", "lat", "lon").count() == 0
+
+
+def test_least_costs_from_all_nodes_under_all_conditions(spark):
+    got = {(r.condition, r.o, r.node): r.dist for r in journeys.shortest_path_hops(spark, DATA).collect()}
+    edges, nodes = {}, [r.node_id for r in street.nodes(spark, DATA).collect()]
+    for r in N.parallel_min(street.costed(spark, DATA)).collect():
+        edges.setdefault(r.condition, {}).setdefault(r.u, []).append((r.v, r.cost))
+    want = {}
+    for c in edges:
+        for o in nodes:
+            best, left = {o: 0.0}, [o]
+            while left:  # until nothing improves, in any order
+                u = left.pop()
+                for v, w in edges[c].get(u, ()):
+                    if best[u] + w < best.get(v, 1e18) - 1e-12:
+                        best[v] = best[u] + w
+                        left.append(v)
+            want |= {(c, o, n): x for n, x in best.items()}
+    assert len(edges) == 5 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_searched_labels_equal_relaxed_ones(spark):
+    e = [("c", 0, 1, 2, 0, 1.0), ("c", 0, 2, 3, 1, 1.0), ("c", 0, 1, 4, 0, 1.0), ("c", 0, 4, 3, 0, 1.0), ("d", 1, 3, 1, 0, 2.0)]
+    parallel = spark.createDataFrame(e, "condition string, cfg_id int, u bigint, v bigint, k int, cost double")
+    origins = spark.createDataFrame([(1,), (3,), (9,)], "o bigint")
+    a, b = (sorted(f(parallel, origins).collect(), key=str) for f in (routing.search_labels, routing.relax_labels))
+    assert a == b and len(a) == 10
