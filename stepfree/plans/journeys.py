@@ -18,6 +18,7 @@ from stepfree.plans.street import _EDGES, _LABELS, _ONE, _SLOPE, _costed, _fix
 from stepfree.session import cut, table
 
 PAIRS, HOPS, REPS = 200, 4, 200
+SWEEP_PAIRS, SEEDS = 1000, list(range(1, 11))
 MARGINS, STEEPS = [0.0, 2.5, 5.0, 10.0], [0.05, 0.0833, 0.1]
 
 
@@ -93,28 +94,36 @@ def threshold_sensitivity(s: SparkSession, d: str) -> DataFrame:
 
 
 def weight_sweep(s: SparkSession, d: str) -> DataFrame:
-    """Three ramp discounts by three obstacle penalties: the settings are part of the routing key."""
-    pairs = cut(sampling.od_pairs(S.nodes(s, d), PAIRS // 4))
-    rows = N.condition_edges(S.validated(s, d), S.DISCOUNTS, S.PENALTIES).where("condition in ('baseline', 'full_validated')")
-    r = cut(routing.routes(N.parallel_min(rows), pairs.select("pair_id", "o", "d")))
-    done = M.compare(M.paired(M.hazards(r, S.validated(s, d))), ["cfg_id"])
-    return done.select("cfg_id", "n_solved", "n_differ", "route_diff_rate", "improvement_rate_of_differ")
+    """Three ramp discounts by three obstacle penalties: the settings are part of the
+    routing key. The baseline has neither ramps nor obstacles, so its costs are the
+    same under every setting; it is routed under the first and stands for all."""
+    pairs = cut(sampling.od_pairs(S.nodes(s, d), SWEEP_PAIRS))
+    rows = N.condition_edges(S.validated(s, d), S.DISCOUNTS, S.PENALTIES).where("condition = 'full_validated' or condition = 'baseline' and cfg_id = 0")
+    hz = M.hazards(cut(routing.routes(N.parallel_min(rows), pairs.select("pair_id", "o", "d"))), S.validated(s, d))
+    every = F.explode(F.array(*[F.lit(i) for i in range(len(S.DISCOUNTS) * len(S.PENALTIES))]))
+    hz = hz.where("condition <> 'baseline'").unionByName(hz.where("condition = 'baseline'").withColumn("cfg_id", every))
+    done = M.compare(M.paired(hz), ["cfg_id"])
+    return done.select("cfg_id", "n_solved", "n_differ", "route_diff_rate", "improvement_rate_of_differ", "improvement_rate_of_all")
 
 
 def seed_stability(s: SparkSession, d: str) -> DataFrame:
-    """Mean and deviation of the rates over redrawn pairs; the seed is part of the pair."""
-    drawn = sampling.od_pairs(S.nodes(s, d), PAIRS // 4, seeds=list(range(1, 6))).withColumn("pair_id", F.col("pair_id") * 100 + F.col("seed"))
+    """Mean and deviation of the four headline figures over redrawn pairs; the seed is part of the pair."""
+    drawn = sampling.od_pairs(S.nodes(s, d), SWEEP_PAIRS, seeds=SEEDS).withColumn("pair_id", F.col("pair_id") * 100 + F.col("seed"))
     pairs = cut(drawn)
     parallel = _parallel(s, d).where("condition in ('baseline', 'full_validated')")
     r = cut(routing.routes(parallel, pairs.select("pair_id", "o", "d")))
     both = M.paired(M.hazards(r, S.validated(s, d))).join(pairs.select("pair_id", "seed"), "pair_id")
-    rates = M.compare(both, ["seed"]).select(F.lit("route_diff_rate").alias("metric"), F.col("route_diff_rate").alias("value"))
+    done = M.compare(both, ["seed"]).withColumn("obstacles_avoided", F.col("obstacles_base") - F.col("obstacles_full"))
+    all_seeds = s.range(min(SEEDS), max(SEEDS) + 1).select(F.col("id").cast("int").alias("seed"))
+    kinds = ["route_diff_rate", "improvement_rate_of_differ", "net_improvement_rate_of_all", "obstacles_avoided"]
+    cells = ", ".join(f"'{k}', cast(coalesce({k}, 0) as double)" for k in kinds)
+    rates = all_seeds.join(done, "seed", "left").selectExpr(f"stack({len(kinds)}, {cells}) as (metric, value)")
     return M.mean_sd(rates, ["metric"], "value")
 
 
 def slope_models(s: SparkSession, d: str) -> DataFrame:
     """The headline comparison when a ramp's discount may and may not offset a slope."""
-    pairs = cut(sampling.od_pairs(S.nodes(s, d), PAIRS // 4).select("pair_id", "o", "d"))
+    pairs = cut(sampling.od_pairs(S.nodes(s, d), SWEEP_PAIRS).select("pair_id", "o", "d"))
     out = None
     for name, protect in (("naive", False), ("protected", True)):
         rows = N.condition_edges(S.validated(s, d), config=CostConfig(protect_slope=protect)).where("condition in ('baseline', 'full_validated')")

@@ -1,7 +1,7 @@
 """Operators that once did a part of their job only."""
 
 from stepfree.operators import network as N
-from stepfree.operators import routing
+from stepfree.operators import routing, sampling
 from stepfree.plans import journeys, street
 
 DATA = "/root/testdata/sf0.001"
@@ -63,3 +63,18 @@ def test_searched_labels_equal_relaxed_ones(spark):
     origins = spark.createDataFrame([(1,), (3,), (9,)], "o bigint")
     a, b = (sorted(f(parallel, origins).collect(), key=str) for f in (routing.search_labels, routing.relax_labels))
     assert a == b and len(a) == 10
+
+
+def test_sweeps_run_over_all_pairs_seeds_and_quantities(spark):
+    pairs = sampling.od_pairs(street.nodes(spark, DATA), 1000)
+    n = pairs.count()
+    swept = journeys.weight_sweep(spark, DATA).collect()
+    assert n > 800 and len(swept) == 9 and {r.n_solved for r in swept} == {n}  # the network is strongly connected
+    assert all(abs(r.improvement_rate_of_all * r.n_solved - r.improvement_rate_of_differ * r.n_differ) < 1e-6 for r in swept)
+    base = street.weight_grid_cost(spark, DATA).where("condition = 'baseline'").collect()
+    assert len(base) == 9 and len({r.total for r in base}) == 1
+    got = {r.metric: r for r in journeys.seed_stability(spark, DATA).collect()}
+    assert set(got) == {"route_diff_rate", "improvement_rate_of_differ", "net_improvement_rate_of_all", "obstacles_avoided"}
+    assert len(journeys.SEEDS) == 10 and got["obstacles_avoided"].least <= got["obstacles_avoided"].mean <= got["obstacles_avoided"].most
+    models = {r.model: r.n_solved for r in journeys.slope_models(spark, DATA).collect()}
+    assert models == {"naive": n, "protected": n}
