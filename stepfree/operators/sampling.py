@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from stepfree.functions.geo import add_projection
 from stepfree.functions.stats import fair_draw
 from stepfree.operators.ranking import hash_order, spread_rank
+from stepfree.session import cut
 
 PROBES = 5000
-ATTEMPTS = 20
+#: Draws a wanted pair: more only while a band is short, the last at most.
+ATTEMPTS = (20, 100, 500)
 
 
 def numbered_nodes(nodes: DataFrame) -> DataFrame:
@@ -44,11 +46,13 @@ def od_pairs(nodes: DataFrame, n: int = 1000, strata: int = 4, seeds: list[int]
     """(seed, pair_id, o, d, dist, band): `n` pairs a seed, equally from bands of
     distance whose limits are taken from `probes` drawn pairs by position
     (element floor(q * m)). A pair and its reverse count once; the first bands get
-    what does not divide. Bands may be short when few drawn pairs fall into them.
+    what does not divide. Draws go on until every band is full, up to `ATTEMPTS[-1]`
+    a pair; only then a band may be short. The first draws hold, so how many are made
+    at once does not show.
     Nothing joins all nodes with all nodes; the work follows n, not the network.
     """
     seeds = seeds or [42]
-    numbered = numbered_nodes(nodes)
+    numbered = cut(numbered_nodes(nodes))
     total = nodes.count()
     if total < 2:
         return nodes.sparkSession.createDataFrame([], "seed int, pair_id bigint, o bigint, d bigint, dist double, band int")
@@ -57,12 +61,16 @@ def od_pairs(nodes: DataFrame, n: int = 1000, strata: int = 4, seeds: list[int]
     ranked = probe.withColumn("r", F.row_number().over(ordered) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("seed")))
     wanted = F.array(*[F.least(F.floor(F.col("m") * (j / strata)), F.col("m") - 1) for j in range(1, strata)])
     cuts = ranked.where(F.array_contains(wanted, F.col("r"))).groupBy("seed").agg(F.array_sort(F.collect_list("dist")).alias("cuts"))
-    drawn = _drawn(numbered, total, seeds, ATTEMPTS * n, "pair").join(F.broadcast(cuts), "seed")
-    rows = drawn.select("seed", "i", "o", "d", "dist", band_of(F.col("dist"), F.col("cuts"), strata).alias("band"))
-    first = rows.groupBy("seed", F.least("o", "d").alias("_a"), F.greatest("o", "d").alias("_b")).agg(F.min(F.struct("i", "o", "d", "dist", "band")).alias("p"))
-    kept = first.select("seed", "p.*").withColumn("_n", F.row_number().over(Window.partitionBy("seed", "band").orderBy("i")))
-    quota = F.lit(n // strata) + F.when(F.col("band") < n % strata, 1).otherwise(0)
-    return kept.where(F.col("_n") <= quota).select("seed", F.col("i").alias("pair_id"), "o", "d", "dist", "band")
+    for attempts in ATTEMPTS:
+        drawn = _drawn(numbered, total, seeds, attempts * n, "pair").join(F.broadcast(cuts), "seed")
+        rows = drawn.select("seed", "i", "o", "d", "dist", band_of(F.col("dist"), F.col("cuts"), strata).alias("band"))
+        first = rows.groupBy("seed", F.least("o", "d").alias("_a"), F.greatest("o", "d").alias("_b")).agg(F.min(F.struct("i", "o", "d", "dist", "band")).alias("p"))
+        kept = first.select("seed", "p.*").withColumn("_n", F.row_number().over(Window.partitionBy("seed", "band").orderBy("i")))
+        quota = F.lit(n // strata) + F.when(F.col("band") < n % strata, 1).otherwise(0)
+        pairs = cut(kept.where(F.col("_n") <= quota).select("seed", F.col("i").alias("pair_id"), "o", "d", "dist", "band"))
+        if pairs.count() >= n * len(seeds):
+            break
+    return pairs
 
 
 def label_strata(labels: DataFrame, quotas: dict[tuple[str, str], int], seed: int = 7) -> DataFrame:

@@ -17,9 +17,11 @@ from stepfree.plans import street as S
 from stepfree.plans.street import _EDGES, _LABELS, _ONE, _SLOPE, _costed, _fix
 from stepfree.session import cut, table
 
-PAIRS, HOPS, REPS = 200, 4, 200
-SWEEP_PAIRS, SEEDS = 1000, list(range(1, 11))
-MARGINS, STEEPS = [0.0, 2.5, 5.0, 10.0], [0.05, 0.0833, 0.1]
+PAIRS, HOPS, REPS = 1000, 4, 200
+SEEDS = list(range(1, 11))
+MARGINS, STEEPS = [0.0, 5.0, 10.0, 20.0], [0.05, 0.0833, 0.12]
+#: Pairs of the SQL below, the first of those the query draws.
+SQL_PAIRS = 200
 
 
 def _parallel(s: SparkSession, d: str) -> DataFrame:
@@ -97,7 +99,7 @@ def weight_sweep(s: SparkSession, d: str) -> DataFrame:
     """Three ramp discounts by three obstacle penalties: the settings are part of the
     routing key. The baseline has neither ramps nor obstacles, so its costs are the
     same under every setting; it is routed under the first and stands for all."""
-    pairs = cut(sampling.od_pairs(S.nodes(s, d), SWEEP_PAIRS))
+    pairs = cut(sampling.od_pairs(S.nodes(s, d), PAIRS))
     rows = N.condition_edges(S.validated(s, d), S.DISCOUNTS, S.PENALTIES).where("condition = 'full_validated' or condition = 'baseline' and cfg_id = 0")
     hz = M.hazards(cut(routing.routes(N.parallel_min(rows), pairs.select("pair_id", "o", "d"))), S.validated(s, d))
     every = F.explode(F.array(*[F.lit(i) for i in range(len(S.DISCOUNTS) * len(S.PENALTIES))]))
@@ -108,7 +110,7 @@ def weight_sweep(s: SparkSession, d: str) -> DataFrame:
 
 def seed_stability(s: SparkSession, d: str) -> DataFrame:
     """Mean and deviation of the four headline figures over redrawn pairs; the seed is part of the pair."""
-    drawn = sampling.od_pairs(S.nodes(s, d), SWEEP_PAIRS, seeds=SEEDS).withColumn("pair_id", F.col("pair_id") * 100 + F.col("seed"))
+    drawn = sampling.od_pairs(S.nodes(s, d), PAIRS, seeds=SEEDS).withColumn("pair_id", F.col("pair_id") * 100 + F.col("seed"))
     pairs = cut(drawn)
     parallel = _parallel(s, d).where("condition in ('baseline', 'full_validated')")
     r = cut(routing.routes(parallel, pairs.select("pair_id", "o", "d")))
@@ -123,7 +125,7 @@ def seed_stability(s: SparkSession, d: str) -> DataFrame:
 
 def slope_models(s: SparkSession, d: str) -> DataFrame:
     """The headline comparison when a ramp's discount may and may not offset a slope."""
-    pairs = cut(sampling.od_pairs(S.nodes(s, d), SWEEP_PAIRS).select("pair_id", "o", "d"))
+    pairs = cut(sampling.od_pairs(S.nodes(s, d), PAIRS).select("pair_id", "o", "d"))
     out = None
     for name, protect in (("naive", False), ("protected", True)):
         rows = N.condition_edges(S.validated(s, d), config=CostConfig(protect_slope=protect)).where("condition in ('baseline', 'full_validated')")
@@ -288,13 +290,13 @@ _OLD_COLUMNS = ", ".join(_TAGS)
 _CHANGES = " union all ".join(f"select 'changed', u, v, k, '{t}', a.\"{t}\", b.\"{t}\" from old a join new b using (u, v, k) where a.\"{t}\" is distinct from b.\"{t}\"" for t in S.T.WAY_TAGS)
 
 ORACLE = {
-    "od_sample": f"""with {_NUMBERED}, {_drawn("probe", 5000, "probe")}, {_drawn("pair", 20 * PAIRS, "pair")},
+    "od_sample": f"""with {_NUMBERED}, {_drawn("probe", 5000, "probe")}, {_drawn("pair", 20 * SQL_PAIRS, "pair")},
         ranked as (select dist, row_number() over (order by dist, i) - 1 as r, count(*) over () as m from probe),
         cuts as (select list(dist order by dist) as cuts from ranked where r in (least(floor(m * 0.25), m - 1), least(floor(m * 0.5), m - 1), least(floor(m * 0.75), m - 1))),
         banded as (select *, least(len(list_filter(cuts, lambda t: dist >= t)), 3) as band from pair, cuts),
         first as (select *, row_number() over (partition by least(o, d), greatest(o, d) order by i) as f from banded),
         kept as (select *, row_number() over (partition by band order by i) as n from first where f = 1)
-        select 42 as seed, i as pair_id, o, d, {_fix("dist", 3)} as dist, band::integer as band from kept where n <= {PAIRS // 4}""",
+        select 42 as seed, i as pair_id, o, d, {_fix("dist", 3)} as dist, band::integer as band from kept where n <= {SQL_PAIRS // 4}""",
     "shortest_path_hops": f"""with {_costed(_ONE)}, best as (select u, v, min(cost) as cost from costed where condition = 'full_raw' group by u, v), {_hops()}
         select o, node, {_fix("dist", 4)} as dist from h{HOPS}""",
     "slope_factors": f"with {_EDGES}, e as (select *, coalesce(grade_abs, 0) as g from edges) select u, v, k, {_fix('(' + _SLOPE + ')::double')} as factor from e",

@@ -1,5 +1,7 @@
 """Operators that once did a part of their job only."""
 
+from collections import Counter
+
 from stepfree.operators import network as N
 from stepfree.operators import routing, sampling
 from stepfree.plans import journeys, street
@@ -78,3 +80,23 @@ def test_sweeps_run_over_all_pairs_seeds_and_quantities(spark):
     assert len(journeys.SEEDS) == 10 and got["obstacles_avoided"].least <= got["obstacles_avoided"].mean <= got["obstacles_avoided"].most
     models = {r.model: r.n_solved for r in journeys.slope_models(spark, DATA).collect()}
     assert models == {"naive": n, "protected": n}
+
+
+def test_the_experiment_has_1000_pairs_and_the_whole_grid(spark):
+    rows = journeys.od_sample(spark, DATA).collect()
+    assert len(rows) == 1000 and sorted(Counter(r.band for r in rows).values()) == [250] * 4
+    assert len({frozenset((r.o, r.d)) for r in rows}) == 1000
+    grid = {(r.margin, r.steep) for r in journeys.threshold_sensitivity(spark, DATA).collect()}
+    assert grid == {(m, t) for m in (0.0, 5.0, 10.0, 20.0) for t in (0.05, 0.0833, 0.12)}
+
+
+def test_more_draws_keep_the_first(spark):
+    nodes, whole = street.nodes(spark, DATA), sampling.ATTEMPTS
+    try:
+        found = []
+        for attempts in ((20,), (100,), (500,), whole):
+            sampling.ATTEMPTS = attempts
+            found.append(sorted(sampling.od_pairs(nodes, 200, seeds=[1, 2]).collect()))
+        assert found[1] == found[2] == found[3] and len(found[3]) == 400
+    finally:
+        sampling.ATTEMPTS = whole
