@@ -85,8 +85,22 @@ def compare(pairs: DataFrame, by: list[str], margin: Column | float = GRADE_MARG
     })
 
 
-def cost_test(pairs: DataFrame, by: list[str]) -> DataFrame:
-    return wilcoxon(pairs, "cost_base", "cost_full", by)
+def cost_test(pairs: DataFrame, by: list[str], axis: str = "cost") -> DataFrame:
+    return wilcoxon(pairs, f"{axis}_base", f"{axis}_full", by)
+
+
+def with_tests(compared: DataFrame, pairs: DataFrame, by: list[str], reps: int = 2000) -> DataFrame:
+    """`compare`'s rows with bootstrap intervals of the rates of changed routes and of
+    improvements among them (0, 0 for nothing), and Wilcoxon tests of the paired
+    costs and obstacles (null where no pair differs)."""
+    flags = pairs.select(*by, F.col("changed").cast("int").alias("changed"), F.when(F.col("changed"), (verdict(signs()) == "improvement").cast("int")).alias("improved"))
+    out = compared
+    for flag, rate in (("changed", "route_diff_rate"), ("improved", "improvement_rate_of_differ")):
+        ci = bootstrap(flags.select(*by, F.col(flag).alias("flag")), by, reps)
+        out = out.join(ci.select(*by, F.col("lo").alias(f"{rate}_lo"), F.col("hi").alias(f"{rate}_hi")), by, "left")
+    cost, stops = cost_test(pairs, by), cost_test(pairs, by, "obstacles")
+    out = out.join(cost.select(*by, F.col("statistic").cast("double").alias("wilcoxon_stat"), F.col("p").alias("wilcoxon_p")), by, "left")
+    return out.join(stops.select(*by, F.col("p").alias("obstacle_wilcoxon_p")), by, "left")
 
 
 def bootstrap(flags: DataFrame, by: list[str], reps: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
@@ -140,4 +154,7 @@ def results_json(compared: DataFrame) -> DataFrame:
         "net_improvement", "net_improvement_rate_of_all", "improvement_rate_of_differ", "improvement_rate_of_all",
         F.struct(*[F.col(f"regressed_by_{a}").alias(a) for a in AXES]).alias("regression_causes"), "median_cost_base", "median_cost_full",
         F.struct(*[f"{a}_{w}" for a in (*AXES, "ramp_access") for w in ("base", "full")]).alias("aggregate_magnitude"),
-    )).alias("document"))
+        F.array("route_diff_rate_lo", "route_diff_rate_hi").alias("route_diff_ci95"),
+        F.array("improvement_rate_of_differ_lo", "improvement_rate_of_differ_hi").alias("improvement_rate_of_differ_ci95"),
+        "wilcoxon_stat", "wilcoxon_p", "obstacle_wilcoxon_p",
+    ), {"ignoreNullFields": "false"}).alias("document"))

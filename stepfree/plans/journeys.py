@@ -64,16 +64,21 @@ def route_overlap(s: SparkSession, d: str) -> DataFrame:
     return routing.overlap(r.where("condition = 'baseline'"), r.where("condition = 'full_validated'"))
 
 
-def compare_conditions(s: SparkSession, d: str) -> DataFrame:
+def _compared(s: SparkSession, d: str) -> DataFrame:
     return M.compare(_paired(s, d), ["condition"])
 
 
+def compare_conditions(s: SparkSession, d: str) -> DataFrame:
+    pairs = cut(_paired(s, d))
+    return M.with_tests(M.compare(pairs, ["condition"]), pairs, ["condition"])
+
+
 def results_json(s: SparkSession, d: str) -> DataFrame:
     return M.results_json(compare_conditions(s, d))
 
 
 def detection_error_gap(s: SparkSession, d: str) -> DataFrame:
-    c = compare_conditions(s, d)
+    c = _compared(s, d)
     rate = lambda k: F.max(F.when(F.col("condition") == k, F.col("improvement_rate_of_differ")))
     return c.agg((rate("full_validated") - rate("full_raw")).alias("gap"))
 
@@ -137,7 +142,7 @@ def slope_models(s: SparkSession, d: str) -> DataFrame:
 
 def decomposition(s: SparkSession, d: str) -> DataFrame:
     """(condition, outcome, share): what became of all solved pairs, the data of the outcome figures."""
-    c = compare_conditions(s, d)
+    c = _compared(s, d)
     kinds = ["unchanged", "improvement", "regression", "neutral", "mixed"]
     pairs = ", ".join(f"'{k}', n_{k}" for k in kinds)
     long = c.selectExpr("condition", "n_solved", f"stack({len(kinds)}, {pairs}) as (outcome, n)")
@@ -152,7 +157,7 @@ def overlay_pair(s: SparkSession, d: str) -> DataFrame:
 
 def claims(s: SparkSession, d: str) -> DataFrame:
     """Figures that must hold for any input, as a ledger: parts that sum to their whole."""
-    c = compare_conditions(s, d).where("condition = 'full_validated'")
+    c = _compared(s, d).where("condition = 'full_validated'")
     figures = c.selectExpr(
         "stack(3, 'outcomes', cast(n_improvement + n_regression + n_neutral + n_mixed - n_differ as double), 'solved', cast(n_unchanged + n_differ - n_solved as double),"
         " 'rate', route_diff_rate * n_solved - n_differ) as (claim, value)"

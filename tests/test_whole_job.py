@@ -1,7 +1,10 @@
 """Operators that once did a part of their job only."""
 
+import json
+import math
 from collections import Counter
 
+from stepfree.operators import metrics as M
 from stepfree.operators import network as N
 from stepfree.operators import routing, sampling
 from stepfree.plans import journeys, street
@@ -100,3 +103,25 @@ def test_more_draws_keep_the_first(spark):
         assert found[1] == found[2] == found[3] and len(found[3]) == 400
     finally:
         sampling.ATTEMPTS = whole
+
+
+def test_comparison_has_intervals_and_tests(spark):
+    axes = [*M.AXES, "ramp_access", "cost"]
+    shape = "condition string, pair_id bigint, changed boolean, " + ", ".join(f"{a}_{w} double" for a in axes for w in ("base", "full"))
+    def row(c, i, changed, obstacles=0.0, cost=0.0):
+        return (c, i, changed, 0.0, 0.0, 5.0, 5.0 + obstacles, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 100.0, 100.0 + cost)
+    rows = [row("some", i, i < 60, -1.0 if i < 45 else 0.0, -1.0 - i if i < 60 else 0.0) for i in range(100)] + [row("none", i, False) for i in range(30)]
+    pairs = spark.createDataFrame(rows, shape)
+    done = M.with_tests(M.compare(pairs, ["condition"]), pairs, ["condition"])
+    got = {r.condition: r for r in done.collect()}
+    some, none = got["some"], got["none"]
+    assert 0.45 < some.route_diff_rate_lo < 0.56 and 0.64 < some.route_diff_rate_hi < 0.75  # 0.6 -+ 1.96 * 0.049
+    assert 0.58 < some.improvement_rate_of_differ_lo < 0.70 and 0.80 < some.improvement_rate_of_differ_hi < 0.90  # 0.75 -+ 1.96 * 0.056
+    assert some.wilcoxon_stat == 0.0
+    for p, n, ties in ((some.wilcoxon_p, 60, 0), (some.obstacle_wilcoxon_p, 45, 45**3 - 45)):
+        want = math.erfc(n * (n + 1) / 4 / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / math.sqrt(2))
+        assert abs(p - want) < 2e-7
+    assert (none.route_diff_rate_lo, none.route_diff_rate_hi, none.improvement_rate_of_differ_lo, none.improvement_rate_of_differ_hi) == (0.0, 0.0, 0.0, 0.0)
+    assert none.wilcoxon_stat is None and none.wilcoxon_p is None and none.obstacle_wilcoxon_p is None
+    documents = {r.condition: json.loads(r.document) for r in M.results_json(done).collect()}
+    assert documents["some"]["route_diff_ci95"] == [some.route_diff_rate_lo, some.route_diff_rate_hi] and documents["none"]["wilcoxon_p"] is None
