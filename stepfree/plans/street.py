@@ -89,7 +89,8 @@ def work(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    raw = images(spark, sf).select(
+    number = {c: F.nanvl(c, F.lit(None).cast("double")) for c in ("compass_angle", "longitude", "latitude")}
+    raw = images(spark, sf).withColumns(number).select(
         F.to_json(
             F.struct(
                 F.col("image_id").alias("id"), "compass_angle", F.struct(F.array("longitude", "latitude").alias("coordinates")).alias("geometry"),
@@ -97,7 +98,7 @@ def image_flatten(spark: SparkSession, sf: str) -> DataFrame:
             )
         ).alias("json")
     )
-    flat = I.flatten_raw(raw.where("not (json like '%NaN%')"), "json", "somewhere")
+    flat = I.flatten_raw(raw, "json", "somewhere")
     return flat.groupBy("city").agg(
         F.count(F.lit(1)).alias("n"), F.count("compass_angle").alias("n_heading"), F.count(F.when(geo.usable(F.col("latitude"), F.col("longitude")), 1)).alias("n_usable")
     )

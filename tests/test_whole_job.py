@@ -4,6 +4,8 @@ import json
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from stepfree.operators import metrics as M
 from stepfree.operators import network as N
 from stepfree.operators import routing, sampling
@@ -125,3 +127,11 @@ def test_comparison_has_intervals_and_tests(spark):
     assert none.wilcoxon_stat is None and none.wilcoxon_p is None and none.obstacle_wilcoxon_p is None
     documents = {r.condition: json.loads(r.document) for r in M.results_json(done).collect()}
     assert documents["some"]["route_diff_ci95"] == [some.route_diff_rate_lo, some.route_diff_rate_hi] and documents["none"]["wilcoxon_p"] is None
+
+
+def test_images_with_nan_are_flattened_too(spark, tmp_path):
+    rows = spark.read.parquet(f"{DATA}/manifest.parquet").where("latitude is not null and not isnan(latitude) and image_path <> ''").dropDuplicates(["image_id"]).limit(3).withColumn("i", F.monotonically_increasing_id())
+    rows = spark.createDataFrame([r | {"image_id": ["a", "bNaN", "c"][n], "compass_angle": [float("nan"), 1.0, 2.0][n], "latitude": 1.0, "longitude": [1.0, 1.0, float("nan")][n]} for n, r in enumerate(r.asDict() for r in rows.collect())], rows.schema)
+    rows.drop("i").write.parquet(f"{tmp_path}/manifest.parquet")
+    (got,) = street.image_flatten(spark, str(tmp_path)).collect()
+    assert (got.n, got.n_heading, got.n_usable) == (3, 2, 2)
