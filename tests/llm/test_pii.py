@@ -1,10 +1,18 @@
+import itertools
+import sys
+
 import numpy as np
 import pytest
 
 from stepfree.llm import pii, pii_model
 from stepfree.llm.pii_labels import KINDS, labelled_spans
 from stepfree.llm.pii_model import TAGS, Tagger
-from stepfree.llm.pii_train import measure, read_texts, train
+from stepfree.llm.pii_make import Maker
+from stepfree.llm.pii_train import counts, measure, read_texts, train
+
+sys.path.insert(0, __file__.rsplit("/", 1)[0])
+
+from pii_sentences import labelled  # noqa: E402
 
 TEXTS = [
     "Contact: Brenja S. Merotano <brenja.merotano+routes @ uni.example> about the kerb.",
@@ -34,11 +42,49 @@ def test_mentions_of_each_kind(model):
 
 def test_held_out_accuracy(model):
     """Texts that are no part of the training files."""
-    scores = measure(model, read_texts("/root/testdata/sf0.01/documents.parquet", 1000))
+    scores = measure(model, [t for t, _ in read_texts("/root/testdata/sf0.01/documents.parquet", 1000)])
     for kind, (precision, recall) in scores.items():
         assert precision > 0.93 and recall > 0.93, (kind, precision, recall)
 
 
+def test_sentences_written_by_hand(model):
+    """Sentences that share no wording with anything the tagger is trained on."""
+    rows = labelled()
+    scores = counts(pii._mentions(model, [t for t, _ in rows]), [s for _, s in rows])
+    assert len(rows) >= 200
+    for kind, (precision, recall) in scores.items():
+        assert precision >= 0.9 and recall >= 0.9, (kind, precision, recall)
+
+
+def test_made_up_texts_have_sound_spans():
+    maker = Maker(4, ["the kerb is high and the lamp is dark"])
+    for _ in range(200):
+        text, spans = maker.text([("en", "A lamp stands in the middle of the footway and nobody moves it.")])
+        assert all(0 <= a < b <= len(text) and k in KINDS and text[a:b].strip() for a, b, k in spans)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_decoding_is_the_best_path(model):
+    r = np.random.default_rng(2)
+    x = r.integers(0, pii_model.CLASSES, (4, 5)).astype(np.int16)
+    e, a = model.emissions(x), model.transitions()
+    got = model.decode(x)
+    for j in range(5):
+        best, want = -1e9, None
+        for path in itertools.product(range(len(TAGS)), repeat=4):
+            score = sum(e[t, k, j] for t, k in enumerate(path)) + sum(a[p, q] for p, q in zip(path, path[1:]))
+            if score > best:
+                best, want = score, path
+        assert tuple(got[:, j]) == want
+
+
+def test_equal_texts_are_tagged_once(spark, model):
+    rows = [(i, TEXTS[0]) for i in range(300)] + [(900, TEXTS[1])]
+    df = spark.createDataFrame(rows, "k bigint, t string").repartition(4)
+    assert pii._different(df, "k", "t")[1].count() == 2
+    assert pii.tag_mentions(df, "k", "t", model).where("doc_id < 900").count() == 600
+
+
 def test_training_from_labelled_spans_learns():
     texts = read_texts("/root/testdata/sf0.001/documents.parquet", 80)
     losses = []
@@ -50,10 +96,11 @@ def test_gradients_by_differences():
     r = np.random.default_rng(0)
     m = Tagger.fresh(5)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    m.p["A"] += r.normal(0, 0.3, m.p["A"].shape)
-    x, y = r.integers(0, pii_model.CLASSES, (6, 3)), r.integers(0, len(TAGS), (6, 3))
+    for n in "LEG":
+        m.p[n] += r.normal(0, 0.3, m.p[n].shape)
+    x, y = r.integers(0, pii_model.CLASSES, (6, 3)), np.array([[1, 0, 4], [2, 3, 4], [2, 4, 0], [0, 5, 1], [1, 0, 2], [2, 7, 2]])
     _, grads = m.gradients(x, y)
-    for name, at in {"A": (1, 2), "O": (3, 4), "c": (2,), "U0": (1, 7), "U1": (2, 3), "P0": (x[3, 1], 4), "P1": (x[3, 1], 9)}.items():
+    for name, at in {"L": (2,), "E": (1,), "G": (0, 0), "O": (3, 4), "c": (2,), "U0": (1, 7), "U1": (2, 3), "P0": (x[3, 1], 4), "P1": (x[3, 1], 9)}.items():
         keep = m.p[name][at]
         m.p[name][at] = keep + 2e-2
         up = m.gradients(x, y)[0]
