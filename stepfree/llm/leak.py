@@ -167,11 +167,15 @@ def _next_row(word: np.uint64, text: np.ndarray, above: np.ndarray, before: np.n
     text. A match is worth 1, a changed, added or missing word costs `_GAP`;
     `before` is the best chain of earlier words that ends at or ahead of a place, which
     a match may follow for `_JUMP`."""
-    row = np.maximum(above - _GAP, 0)
-    same = text == word
-    step = np.where(same, np.maximum(above[:-1], before[:-1] - _JUMP) + 1, above[:-1] - _GAP)
-    np.maximum(row[1:], step, out=row[1:])
-    return np.maximum.accumulate(row + slope) - slope
+    row = above - _GAP
+    np.maximum(row, 0, out=row)
+    np.maximum(row[1:], above[:-1] - _GAP, out=row[1:])
+    at = np.flatnonzero(text == word)
+    row[at + 1] = np.maximum(row[at + 1], np.maximum(above[at], before[at] - _JUMP) + 1)
+    row += slope
+    np.maximum.accumulate(row, out=row)
+    row -= slope
+    return row
 
 
 def chained(item: np.ndarray, text: np.ndarray) -> list[tuple[list[int], list[int]]]:
@@ -189,18 +193,19 @@ def chained(item: np.ndarray, text: np.ndarray) -> list[tuple[list[int], list[in
     size = max(1, min(n, max(_CELLS // (m + 1), int(np.sqrt(n)))))
     zero = np.zeros(m + 1, np.int32)
     kept, above, before, best, end = [], zero, zero, 0, (0, 0)
+    held, low = np.zeros((n + 1 if size == n else 0, m + 1), np.int32), 0 if size == n else n + 1
     for i in range(n):
         if i % size == 0:
             kept.append((above, before))
         before = np.maximum(before, np.maximum.accumulate(above))
         above = _next_row(item[i], text, above, before, slope)
+        if size == n:
+            held[i + 1] = above
         j = int(above.argmax())
         if above[j] > best:
             best, end = int(above[j]), (i + 1, j)
     if best < _LEAST_SEGMENT - 1:
         return []
-    held, low = np.zeros((0, m + 1), np.int32), n + 1
-
     def hold(i: int) -> None:
         """Make the rows of the block that holds row i (rows count from 1; row 0 is empty)."""
         nonlocal held, low
@@ -263,10 +268,22 @@ def _rim(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _without_long_runs(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The text with no more than four words in a row that the item does not have.
+    To pass three costs more than another segment, and rims look four words far,
+    so nothing is found or lost by the rest of a run."""
+    known = np.unique(item)
+    at = np.searchsorted(known, text)
+    foreign = known[np.minimum(at, len(known) - 1)] != text
+    run = np.arange(len(text)) - np.maximum.accumulate(np.where(foreign, -1, np.arange(len(text))))
+    return text[~foreign | (run <= 4)]
+
+
 def matched_positions(item: np.ndarray, text: np.ndarray) -> list[int]:
     """Item words found in the text, in order: the best chain of segments, however
     many, for other text may stand between the parts of a passage; with the words
     just outside each segment."""
+    text = _without_long_runs(item, text)
     chain = chained(item, text)
     out: list[int] = []
     for s, (a, b) in enumerate(chain):
