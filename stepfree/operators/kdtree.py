@@ -13,13 +13,15 @@ import numpy as np
 
 BUCKET = 16
 _PAIR_BLOCK = 40_000
+#: Node pairs looked at together: bounds memory where very many points lie close.
+_NODE_PAIRS = 1 << 16
 
 
 class KDTree:
-    def __init__(self, points: np.ndarray, bucket: int = BUCKET):
+    def __init__(self, points: np.ndarray, bucket: int = BUCKET, depth: int | None = None):
         n = len(points)
         self.points = points
-        self.depth = max(0, int(np.ceil(np.log2(max(n, 1) / bucket)))) if n > bucket else 0
+        self.depth = self.fitting(n, bucket) if depth is None else depth
         order = np.arange(n)
         self.bounds = [np.array([0, n])]
         for _ in range(self.depth):
@@ -47,6 +49,11 @@ class KDTree:
             self.low.append(low)
             self.high.append(high)
 
+    @staticmethod
+    def fitting(n: int, bucket: int = BUCKET) -> int:
+        """Levels that leave about `bucket` of n points in a node."""
+        return max(0, int(np.ceil(np.log2(n / bucket)))) if n > bucket else 0
+
     def _apart(self, level: int, a: np.ndarray, other: KDTree, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest squared distances of the boxes of node pairs."""
         la, ha, lb, hb = self.low[level][a], self.high[level][a], other.low[level][b], other.high[level][b]
@@ -55,17 +62,25 @@ class KDTree:
         with np.errstate(invalid="ignore"):
             return (gap * gap).sum(axis=1), (span * span).sum(axis=1)
 
-    def near_nodes(self, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i <= j) of the lowest level's nodes that may hold points within `radius`."""
-        a, b, r2 = np.zeros(1, np.int64), np.zeros(1, np.int64), radius * radius
-        for level in range(1, self.depth + 1):
+    def near_nodes(self, radius: float, other: KDTree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the lowest level's nodes that may hold points within `radius`: i <= j
+        of this tree, or i of this and j of another tree of the same depth. Blocks
+        are followed to the ground one by one, so few pairs are held at a time."""
+        right, r2 = other or self, radius * radius
+        left = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while left:
+            level, a, b = left.pop()
+            if level == self.depth:
+                yield a, b
+                continue
             a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b, 2 * b + 1])
-            keep = a <= b
-            a, b = a[keep], b[keep]
-            near, _ = self._apart(level, a, self, b)
+            if other is None:
+                keep = a <= b
+                a, b = a[keep], b[keep]
+            near, _ = self._apart(level + 1, a, right, b)
             keep = near <= r2
             a, b = a[keep], b[keep]
-        return a, b
+            left += [(level + 1, a[s : s + _NODE_PAIRS], b[s : s + _NODE_PAIRS]) for s in range(0, len(a), _NODE_PAIRS)]
 
     def _members(self, level: int) -> np.ndarray:
         """Rows of point numbers by node, filled up with -1."""
@@ -80,27 +95,78 @@ class KDTree:
         """All pairs i != j of points at most `radius` apart, each once, in blocks."""
         if len(self.points) < 2:
             return
-        a, b = self.near_nodes(radius)
-        yield from self._expand(a, b, radius)
+        for a, b in self.near_nodes(radius):
+            yield from self._expand(a, b, radius)
 
-    def _expand(self, a: np.ndarray, b: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        members = self._members(self.depth)
-        width = members.shape[1]
-        step = max(1, _PAIR_BLOCK * 25 // max(1, width * width))
-        upper = np.triu(np.ones((width, width), bool), 1)
+    def pairs_with(self, other: KDTree, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of a point of this and a point of another tree of the same depth, in blocks."""
+        if len(self.points) and len(other.points):
+            for a, b in self.near_nodes(radius, other):
+                yield from self._expand(a, b, radius, other)
+
+    def _expand(self, a: np.ndarray, b: np.ndarray, radius: float, other: KDTree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        right = other or self
+        members, others = self._members(self.depth), right._members(right.depth)
+        wide, high = members.shape[1], others.shape[1]
+        step = max(1, _PAIR_BLOCK * 25 // max(1, wide * high))
+        upper = np.triu(np.ones((wide, high), bool), 1)
         for s in range(0, len(a), step):
-            ma, mb = members[a[s : s + step]], members[b[s : s + step]]
-            d2 = np.zeros((len(ma), width, width))
+            ma, mb = members[a[s : s + step]], others[b[s : s + step]]
+            d2 = np.zeros((len(ma), wide, high))
             for axis in range(self.points.shape[1]):
-                x = self.points[:, axis]
-                d2 += (x[ma][:, :, None] - x[mb][:, None, :]) ** 2
+                d2 += (self.points[:, axis][ma][:, :, None] - right.points[:, axis][mb][:, None, :]) ** 2
             ok = (d2 <= radius * radius) & (ma >= 0)[:, :, None] & (mb >= 0)[:, None, :]
-            same = a[s : s + step] == b[s : s + step]
-            ok[same] &= upper
+            if other is None:
+                ok[a[s : s + step] == b[s : s + step]] &= upper
             k, i, j = np.nonzero(ok)
             if len(k):
                 yield ma[k, i], mb[k, j]
 
+    def weights_near(self, radius: float, weight: np.ndarray) -> np.ndarray:
+        """Per point the summed weight of all points at most `radius` away, its own
+        included. Node pairs that lie wholly within `radius` are added as wholes, so
+        a crowd in one spot is counted without its pairs being listed."""
+        n, r2 = len(self.points), radius * radius
+        total = np.zeros(n, np.int64)
+        if not n:
+            return total
+        run = np.concatenate([[0], np.cumsum(weight[self.order])])
+        slope = np.zeros(n + 1, np.int64)
+
+        def add(edges: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            gain = run[edges[b + 1]] - run[edges[b]]
+            np.add.at(slope, edges[a], gain)
+            np.add.at(slope, edges[a + 1], -gain)
+
+        left = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while left:
+            level, a, b = left.pop()
+            edges = self.bounds[level]
+            filled = (edges[a + 1] > edges[a]) & (edges[b + 1] > edges[b])
+            a, b = a[filled], b[filled]
+            near, far = self._apart(level, a, self, b)
+            whole = far <= r2
+            add(edges, a[whole], b[whole])
+            other = whole & (a != b)
+            add(edges, b[other], a[other])
+            keep = (near <= r2) & ~whole
+            a, b = a[keep], b[keep]
+            if level == self.depth:
+                for i, j in self._expand(a, b, radius):
+                    np.add.at(total, i, weight[j])
+                    np.add.at(total, j, weight[i])
+                own = np.unique(a[a == b])
+                inside = self._members(level)[own].ravel()
+                inside = inside[inside >= 0]
+                total[inside] += weight[inside]
+                continue
+            a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b, 2 * b + 1])
+            keep = a <= b
+            a, b = a[keep], b[keep]
+            left += [(level + 1, a[s : s + _NODE_PAIRS], b[s : s + _NODE_PAIRS]) for s in range(0, len(a), _NODE_PAIRS)]
+        total[self.order] += np.cumsum(slope[:-1])
+        return total
+
     def nearest(self, queries: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(number, squared distance) of the point nearest each query, ties to the
         least number; number -1 where the tree is empty. A level at a time: a box is
@@ -242,3 +308,23 @@ class Planes:
                 np.concatenate([home[left] & on_left[left], home[right] & ~on_left[right]]),
             )
         return row, node, home
+
+    def assign_boxes(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): every leaf that each box reaches into."""
+        row, node = np.arange(len(low)), np.ones(len(low), np.int64)
+        for _ in range(self.depth):
+            axis, at = self.axis[node], self.at[node]
+            left, right = low[row, axis] <= at, high[row, axis] > at
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+        return row, node
+
+    def blocks(self, sample: np.ndarray, total: int, rows: int) -> np.ndarray:
+        """By leaf number: into how many blocks its rows are divided so that a block has
+        about `rows` of them, as far as the sample tells; 1 for a leaf of ordinary size."""
+        out = np.ones(2 ** (self.depth + 1), np.int64)
+        if len(sample):
+            _, leaf, _ = self.assign(sample, 0.0)
+            held = np.bincount(leaf, minlength=len(out)) * (total / len(sample))
+            crowded = held > 4 * rows
+            out[crowded] = np.ceil(held[crowded] / rows)
+        return out

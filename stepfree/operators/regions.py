@@ -1,9 +1,11 @@
 """Which region holds each point: a plane sweep over polygon edges.
 
-The plane is cut into strips of latitude that hold about equally many points (cuts
-fitted on a bounded sample). An edge goes to every strip it reaches into; in a
-strip, points and edges are swept from south to north, and a point lies in the
-regions of which it has an odd number of active edges to its west.
+The plane is cut by k-d planes fitted on a bounded sample, so that leaves hold about
+equally many points. A point lies in the regions of which it has an odd number of
+edges to its west, and never east of a region's last corner: an edge goes to the
+leaves that the rectangle from its west end to that corner reaches into. In a leaf,
+points and edges are swept from south to north. A leaf with very many points, such
+as one place, is divided into blocks that each meet the leaf's edges.
 """
 
 from __future__ import annotations
@@ -12,31 +14,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRIP_ROWS = 50_000
-SAMPLE_ROWS = 100_000
-MOST_STRIPS = 4096
-#: Parts a strip's points are divided into, so that a parallel with most points is no single task.
-PARTS = 4
+from stepfree.operators.kdtree import Planes
+
+LEAF_ROWS = 50_000
+#: Rows the planes are fitted on: so many a leaf, at least and at most.
+SAMPLE_PER_LEAF, SAMPLE_ROWS, MOST_SAMPLE_ROWS = 16, 100_000, 4_000_000
 _BLOCK = 2_000_000
 
 
 def polygon_edges(regions: DataFrame, key: str, ring: str) -> DataFrame:
-    """(region, x0, y0, x1, y1) of rings given as arrays of [x, y]; the last point is
+    """(region, east: the ring's last corner, x0, y0, x1, y1) of rings given as arrays of [x, y]; the last point is
     joined with the first. Level edges never count and are dropped, as are rings of
     fewer than three points and points that are no pair of numbers."""
     ok = F.filter(ring, lambda p: (F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull() & ~F.isnan(p[0]) & ~F.isnan(p[1]))
     rings = regions.where(F.col(key).isNotNull()).select(F.col(key).alias("region"), ok.alias("r")).where(F.size("r") >= 3)
-    pairs = rings.select("region", F.explode(F.expr("transform(sequence(0, size(r) - 1), i -> struct(r[i] as a, r[(i + 1) % size(r)] as b))")).alias("e"))
-    edges = pairs.select("region", *[F.col(f"e.{p}")[i].alias(n) for p, i, n in (("a", 0, "x0"), ("a", 1, "y0"), ("b", 0, "x1"), ("b", 1, "y1"))])
+    east = F.array_max(F.transform("r", lambda p: p[0])).alias("east")
+    pairs = rings.select("region", east, F.explode(F.expr("transform(sequence(0, size(r) - 1), i -> struct(r[i] as a, r[(i + 1) % size(r)] as b))")).alias("e"))
+    edges = pairs.select("region", "east", *[F.col(f"e.{p}")[i].alias(n) for p, i, n in (("a", 0, "x0"), ("a", 1, "y0"), ("b", 0, "x1"), ("b", 1, "y1"))])
     return edges.where("y0 <> y1")
 
 
-def _strip(y: Column, cuts: list[float]) -> Column:
-    array = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(array, lambda c: c <= y))
+def _fit(here: DataFrame, leaf_rows: int) -> tuple[Planes, np.ndarray]:
+    total = here.count()
+    leaves = max(1, -(-total // leaf_rows))
+    if leaves == 1:
+        return Planes(np.zeros((0, 2)), 1), np.ones(2, np.int64)
+    rows = min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, leaves * SAMPLE_PER_LEAF))
+    some = here.sample(min(1.0, rows / total), seed=5).limit(rows).select("px", "py").toPandas().to_numpy(float)
+    planes = Planes(some, min(leaves, rows // SAMPLE_PER_LEAF))
+    return planes, planes.blocks(some, total, leaf_rows)
 
 
 def sweep(px: np.ndarray, py: np.ndarray, edges: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +82,45 @@ def sweep(px: np.ndarray, py: np.ndarray, edges: np.ndarray, region: np.ndarray)
     return (np.concatenate(found_p) if found_p else none), (np.concatenate(found_r) if found_r else none)
 
 
-def regions_of(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region_key: str, ring: str, strip_rows: int = STRIP_ROWS) -> DataFrame:
+def regions_of(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region_key: str, ring: str, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, region): every region that holds each point, on the plane of x and y.
 
     Points without coordinates and points in no region have no row; overlapping
     regions give several rows; repeated keys are located row by row. A ring over the
-    date line has to be given in two parts. Edges are sent to the strips they
-    touch, points are shuffled once; nothing is compared with everything. Empty
-    tables give an empty result.
+    date line has to be given in two parts. Edges are sent to the leaves they
+    can matter in, points are shuffled once; nothing is compared with everything.
+    Empty tables give an empty result.
     """
     here = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
     here = here.where("id is not null and px is not null and py is not null and not isnan(px) and not isnan(py)")
-    total = here.count()
-    strips = min(MOST_STRIPS, max(1, -(-total // strip_rows)))
-    cuts: list[float] = []
-    if strips > 1:
-        some = here.sample(min(1.0, SAMPLE_ROWS / total), seed=5).limit(SAMPLE_ROWS).select("py").toPandas()["py"].to_numpy()
-        cuts = sorted(set(np.quantile(some, np.arange(1, strips) / strips).tolist())) if len(some) else []
+    planes, blocks = _fit(here, leaf_rows)
     kind, region_kind = points.schema[key].dataType.simpleString(), regions.schema[region_key].dataType.simpleString()
-    parts = F.array(*[F.lit(i) for i in range(PARTS)])
     edges = polygon_edges(regions, region_key, ring)
-    reach = F.sequence(_strip(F.least("y0", "y1"), cuts), _strip(F.greatest("y0", "y1"), cuts))
-    laid = edges.withColumn("strip", F.explode(reach)).withColumn("part", F.explode(parts))
-    placed = here.withColumn("strip", _strip(F.col("py"), cuts)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]).reshape(-1, 2)
+            row, leaf, mine = planes.assign(at, 0.0)
+            home = np.zeros(len(at), np.int64)
+            home[row[mine]] = leaf[mine]
+            block = batch.column(1).to_numpy() % blocks[home]
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(block), *[batch.column(i) for i in (0, 2, 3)]], names=["leaf", "block", "id", "px", "py"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x0, y0, x1, y1, east = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            low, high = np.column_stack([np.minimum(x0, x1), np.minimum(y0, y1)]), np.column_stack([east, np.maximum(y0, y1)])
+            row, leaf = planes.assign_boxes(low.reshape(-1, 2), high.reshape(-1, 2))
+            many = blocks[leaf]
+            copy = np.repeat(np.arange(len(row)), many)
+            block = np.arange(len(copy)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf[copy]), pa.array(block), *[batch.column(i).take(pa.array(row[copy])) for i in range(5)]], names=["leaf", "block", "region", "x0", "y0", "x1", "y1"]
+            )
+
+    hashed = here.select("id", F.pmod(F.xxhash64("id", "px", "py"), F.lit(1 << 20)).alias("h"), "px", "py")
+    placed = hashed.mapInArrow(place, f"leaf bigint, block bigint, id {kind}, px double, py double")
+    laid = edges.select("region", "x0", "y0", "x1", "y1", "east").mapInArrow(lay, f"leaf bigint, block bigint, region {region_kind}, x0 double, y0 double, x1 double, y1 double")
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         out = pa.schema([("id", left.schema.field("id").type), ("region", right.schema.field("region").type)])
@@ -107,4 +132,4 @@ def regions_of(points: DataFrame, key: str, x: str, y: str, regions: DataFrame,
         p, r = sweep(left.column("px").to_numpy(), left.column("py").to_numpy(), lines, coded.indices.to_numpy().astype(np.int64))
         return pa.table([left.column("id").combine_chunks().take(pa.array(p)), coded.dictionary.take(pa.array(r))], schema=out)
 
-    return placed.groupBy("strip", "part").cogroup(laid.groupBy("strip", "part")).applyInArrow(locate, f"id {kind}, region {region_kind}")
+    return placed.groupBy("leaf", "block").cogroup(laid.groupBy("leaf", "block")).applyInArrow(locate, f"id {kind}, region {region_kind}")

@@ -24,6 +24,9 @@ from stepfree.operators.kdtree import KDTree, Planes
 #: Rows a leaf is planned to hold; rows the split planes are fitted on.
 LEAF_ROWS = 8192
 SAMPLE_ROWS = 200_000
+#: With more leaves the sample grows by so many rows a leaf, up to the most (100 MB on
+#: the driver, enough for 2 billion rows; beyond that crowded leaves are divided).
+SAMPLE_PER_LEAF, MOST_SAMPLE_ROWS = 16, 4_000_000
 
 
 def clean_positions(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
@@ -34,43 +37,56 @@ def clean_positions(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
     return best.select("id", F.col("p.col1").alias("lat"), F.col("p.col2").alias("lon"))
 
 
-def fit_planes(df: DataFrame, lat: str, lon: str, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> Planes:
-    """Planes fitted on at most `sample_rows` rows; they decide where the cuts
-    lie, never which rows are compared."""
+def fit_planes(df: DataFrame, lat: str, lon: str, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> tuple[Planes, np.ndarray]:
+    """Planes fitted on a sample, and the blocks each leaf is divided into: a place
+    with very many rows lies in one leaf whatever the planes. Both decide how the
+    work is divided, never which rows are compared."""
     here = df.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     total = here.count()
-    leaves = min(max(1, -(-total // leaf_rows)), max(1, sample_rows // 16))
+    leaves = max(1, -(-total // leaf_rows))
+    sample_rows = max(sample_rows, min(MOST_SAMPLE_ROWS, leaves * SAMPLE_PER_LEAF))
+    leaves = min(leaves, max(1, sample_rows // SAMPLE_PER_LEAF))
     if leaves == 1:
-        return Planes(np.zeros((0, 3)), 1)
+        return Planes(np.zeros((0, 3)), 1), np.ones(2, np.int64)
     part = here.where(usable(F.col("lat"), F.col("lon"))).sample(min(1.0, sample_rows / total), seed=7).limit(sample_rows)
     x, y, z = unit_vector(F.col("lat"), F.col("lon"))
     points = part.select(x.alias("x"), y.alias("y"), z.alias("z")).toPandas().to_numpy(float)
-    return Planes(points, leaves)
+    planes = Planes(points, leaves)
+    return planes, planes.blocks(points, total, leaf_rows)
 
 
-def _to_leaves(points: DataFrame, planes: Planes, halo: float) -> DataFrame:
-    """(leaf, home, shared, id, x, y, z) from (id, lat, lon)."""
+def _to_leaves(points: DataFrame, planes: Planes, halo: float, blocks: np.ndarray | None = None) -> DataFrame:
+    """(leaf, first, second, block, home, shared, id, weight, x, y, z) from (id, lat, lon,
+    weight). A row of a leaf with several blocks goes to its block's task with each
+    block, its own included: first <= second."""
     x, y, z = unit_vector(F.col("lat"), F.col("lon"))
-    vectors = points.select("id", x.alias("x"), y.alias("y"), z.alias("z"))
+    vectors = points.select("id", "weight", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int").alias("h"), x.alias("x"), y.alias("y"), z.alias("z"))
     kind = points.schema["id"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xyz = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]).reshape(-1, 3)
+            xyz = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)]).reshape(-1, 3)
             row, leaf, home = planes.assign(xyz, halo)
-            copies = np.bincount(row, minlength=len(xyz))
+            shared = np.bincount(row, minlength=len(xyz))[row] > 1
+            many = np.ones(len(row), np.int64) if blocks is None else blocks[leaf]
+            block = batch.column(2).to_numpy()[row] % many
+            copy = np.repeat(np.arange(len(row)), many)
+            other = np.arange(len(copy)) - np.repeat(np.cumsum(many) - many, many)
+            row, leaf, home, shared, block = row[copy], leaf[copy], home[copy], shared[copy], block[copy]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(leaf, pa.int64()), pa.array(home), pa.array(copies[row] > 1),
-                    batch.column(0).take(pa.array(row)), *[pa.array(xyz[row, i]) for i in range(3)],
+                    pa.array(leaf, pa.int64()), pa.array(np.minimum(block, other), pa.int32()), pa.array(np.maximum(block, other), pa.int32()), pa.array(block, pa.int32()),
+                    pa.array(home), pa.array(shared), *[batch.column(i).take(pa.array(row)) for i in (0, 1)], *[pa.array(xyz[row, i]) for i in range(3)],
                 ],
-                names=["leaf", "home", "shared", "id", "x", "y", "z"],
+                names=["leaf", "first", "second", "block", "home", "shared", "id", "weight", "x", "y", "z"],
             )
 
-    return vectors.mapInArrow(assign, f"leaf bigint, home boolean, shared boolean, id {kind}, x double, y double, z double")
+    return vectors.mapInArrow(
+        assign, f"leaf bigint, first int, second int, block int, home boolean, shared boolean, id {kind}, weight bigint, x double, y double, z double"
+    )
 
 
-def _leaf_arrays(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _leaf_arrays(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     whole = pa.Table.from_batches(list(batches)).combine_chunks()
     ids = whole.column("id").combine_chunks()
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
@@ -79,7 +95,7 @@ def _leaf_arrays(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarra
     rank[order] = np.arange(len(order))
     xyz = np.column_stack([whole.column(c).to_numpy() for c in ("x", "y", "z")])
     flags = [whole.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "shared")]
-    return ids, rank, xyz, *flags
+    return whole, ids, rank, xyz, *flags
 
 
 def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -88,23 +104,61 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_
     Rows with a null key or an unusable position take no part; copies of a key
     count once; keys at the very same place are pairs like others. Each pair is
     reported once, by the leaf that is home to the lesser key. An empty table
-    gives an empty result. Work and memory follow the result: a spot with n
-    pictures has n(n-1)/2 pairs.
+    gives an empty result. Work follows the result: a spot with n pictures has
+    n(n-1)/2 pairs. A leaf that holds such a spot is divided into blocks and each
+    pair of blocks is a task of its own; `near_links` answers without listing pairs.
     """
     radius = chord(metres)
-    points = clean_positions(df, key, lat, lon)
-    leaves = _to_leaves(points, fit_planes(df, lat, lon, leaf_rows, sample_rows), radius)
+    points = clean_positions(df, key, lat, lon).withColumn("weight", F.lit(1).cast("bigint"))
+    leaves = _to_leaves(points, *_halo(fit_planes(df, lat, lon, leaf_rows, sample_rows), radius))
     kind = points.schema["id"].dataType.simpleString()
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rank, xyz, home, _ = _leaf_arrays(batches)
-        for i, j in KDTree(xyz).pairs(radius):
+        whole, ids, rank, xyz, home, _ = _leaf_arrays(batches)
+        block = whole.column("block").to_numpy()
+        if key[1].as_py() == key[2].as_py():
+            found = KDTree(xyz).pairs(radius)
+        else:
+            sides = [np.flatnonzero(block == key[n].as_py()) for n in (1, 2)]
+            depth = KDTree.fitting(max(len(s) for s in sides))
+            trees = [KDTree(xyz[s], depth=depth) for s in sides]
+            found = ((sides[0][i], sides[1][j]) for i, j in trees[0].pairs_with(trees[1], radius))
+        for i, j in found:
             a, b = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
             mine = home[a]
             if mine.any():
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[mine])), ids.take(pa.array(b[mine]))], names=["id_a", "id_b"])
 
-    return leaves.groupBy("leaf").applyInArrow(join, f"id_a {kind}, id_b {kind}")
+    return leaves.groupBy("leaf", "first", "second").applyInArrow(join, f"id_a {kind}, id_b {kind}")
+
+
+def _halo(fitted: tuple[Planes, np.ndarray], radius: float) -> tuple[Planes, float, np.ndarray]:
+    return fitted[0], radius, fitted[1]
+
+
+def near_links(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(id, place_id, n_links): per key the class of keys at the very same position, named
+    by its least key, and the number of other keys at most `metres` away.
+
+    What `near_pairs` tells without its pairs: keys at one place are one weighted
+    point, and crowds within the distance are added as wholes. Nulls, unusable
+    positions, copies and empty tables as in `near_pairs`; lone keys have 0 links.
+    """
+    radius = chord(metres)
+    images = clean_positions(df, key, lat, lon)
+    places = images.groupBy("lat", "lon").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    planes, _ = fit_planes(df, lat, lon, leaf_rows, sample_rows)
+    kind = images.schema["id"].dataType.simpleString()
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, ids, _, xyz, home, _ = _leaf_arrays(batches)
+        near = KDTree(xyz).weights_near(radius, whole.column("weight").to_numpy())
+        mine = np.flatnonzero(home)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine)), pa.array(near[mine] - 1, pa.int64())], names=["place_id", "n_links"])
+
+    counted = _to_leaves(places, planes, radius).groupBy("leaf").applyInArrow(count, f"place_id {kind}, n_links bigint")
+    at = places.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("id").alias("place_id")).join(counted, "place_id")
+    return images.join(at, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))).select("id", "place_id", "n_links")
 
 
 def near_groups(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -118,12 +172,12 @@ def near_groups(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf
     """
     radius = chord(metres)
     images = clean_positions(df, key, lat, lon)
-    places = images.groupBy("lat", "lon").agg(F.min("id").alias("id"))
-    leaves = _to_leaves(places, fit_planes(df, lat, lon, leaf_rows, sample_rows), radius)
+    places = images.groupBy("lat", "lon").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    leaves = _to_leaves(places, fit_planes(df, lat, lon, leaf_rows, sample_rows)[0], radius)
     kind = images.schema["id"].dataType.simpleString()
 
     def local(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rank, xyz, home, shared = _leaf_arrays(batches)
+        _, ids, rank, xyz, home, shared = _leaf_arrays(batches)
         label = KDTree(xyz).components(radius)
         least = np.full(len(rank), len(rank))
         np.minimum.at(least, label, rank)

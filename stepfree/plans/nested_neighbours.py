@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepfree.operators import nested
 from stepfree.functions.geo import usable
 from stepfree.operators.regions import regions_of
-from stepfree.operators.spatial import near_pairs
+from stepfree.operators.spatial import near_links, near_pairs
 from stepfree.session import cut, table
 
 NEAR_M = 8.0
@@ -36,6 +36,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("image_id_a"), F.col("id_b").alias("image_id_b"))
 
 
+def p4_links(spark: SparkSession, sf: str) -> DataFrame:
+    links = near_links(table(spark, sf, "manifest"), "image_id", "latitude", "longitude", NEAR_M)
+    return links.select(F.col("id").alias("image_id"), "place_id", "n_links")
+
+
 def p4_regions(spark: SparkSession, sf: str) -> DataFrame:
     """The town octagons that hold each image: an octagon around the middle of the
     town's usable positions, as wide as six tenths of their extent."""
@@ -60,6 +65,7 @@ QUERIES = {
     "p2_points": _flat("point"),
     "p2_occluders": _flat("occluder"),
     "p4_found": p4_found,
+    "p4_links": p4_links,
     "p4_regions": p4_regions,
 }
 
@@ -79,6 +85,22 @@ _TEXT_OR_NUMBER = "('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
 _NUMBERS = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
 _NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
+_NEAR = """
+        with rows_ as (
+          select image_id as id, min(struct_pack(lat := latitude, lon := longitude)) as p from manifest
+          where image_id is not null and latitude is not null and longitude is not null and not isnan(latitude)
+            and not isnan(longitude) and abs(latitude) <= 90 and abs(longitude) <= 180 and not (latitude = 0 and longitude = 0)
+          group by image_id
+        ), v as (
+          select id, cos(radians(p.lat)) * cos(radians(p.lon)) as x, cos(radians(p.lat)) * sin(radians(p.lon)) as y, sin(radians(p.lat)) as z from rows_
+        ), cells as (select *, floor(x * 700000)::bigint as cx, floor(y * 700000)::bigint as cy, floor(z * 700000)::bigint as cz from v
+        ), around as (
+          select id, x, y, z, cx + dx as cx, cy + dy as cy, cz + dz as cz from cells,
+            (select unnest([-1, 0, 1]) as dx), (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dz)
+        ), pairs as (
+        select a.id as image_id_a, b.id as image_id_b from cells a join around b using (cx, cy, cz)
+        where a.id < b.id and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= pow(2 * sin(8.0 / 6371008.8 / 2), 2))"""
+
 ORACLE = {
     "p2_found": f"""{_ITEMS}, dets as (
           select record_id, item_pos, i - 1 as det_pos, d[i] as v from (
@@ -104,21 +126,9 @@ ORACLE = {
                case when json_type(v, '$.image_width') in {_NUMBERS} then json_extract_string(v, '$.image_width')::bigint end as image_width,
                case when json_type(v, '$.image_height') in {_NUMBERS} then json_extract_string(v, '$.image_height')::bigint end as image_height
         from items""",
-    "p4_found": """
-        with rows_ as (
-          select image_id as id, min(struct_pack(lat := latitude, lon := longitude)) as p from manifest
-          where image_id is not null and latitude is not null and longitude is not null and not isnan(latitude)
-            and not isnan(longitude) and abs(latitude) <= 90 and abs(longitude) <= 180 and not (latitude = 0 and longitude = 0)
-          group by image_id
-        ), v as (
-          select id, cos(radians(p.lat)) * cos(radians(p.lon)) as x, cos(radians(p.lat)) * sin(radians(p.lon)) as y, sin(radians(p.lat)) as z from rows_
-        ), cells as (select *, floor(x * 700000)::bigint as cx, floor(y * 700000)::bigint as cy, floor(z * 700000)::bigint as cz from v
-        ), around as (
-          select id, x, y, z, cx + dx as cx, cy + dy as cy, cz + dz as cz from cells,
-            (select unnest([-1, 0, 1]) as dx), (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dz)
-        )
-        select a.id as image_id_a, b.id as image_id_b from cells a join around b using (cx, cy, cz)
-        where a.id < b.id and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= pow(2 * sin(8.0 / 6371008.8 / 2), 2)""",
+    "p4_found": f"""{_NEAR} select * from pairs""",
+    "p4_links": f"""{_NEAR}, links as (select image_id_a as id, count(*) as n from pairs group by 1 union all select image_id_b, count(*) from pairs group by 1)
+        select r.id as image_id, min(r.id) over (partition by r.p) as place_id, coalesce((select sum(n) from links l where l.id = r.id), 0)::bigint as n_links from rows_ r""",
     "p4_regions": f"""
         with rows_ as (select * from manifest where latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)
             and abs(latitude) <= 90 and abs(longitude) <= 180 and not (latitude = 0 and longitude = 0)),

@@ -24,7 +24,7 @@ def test_regions_equal_brute_force(spark):
     p = spark.createDataFrame(rows, "k bigint, x double, y double, strip int")
     q = spark.createDataFrame([(n, [list(c) for c in ring]) for n, ring in rings.items()] + [("thin", [[0.0, 0.0], [1.0, 1.0]]), ("none", None), (None, [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0]])], "n string, ring array<array<double>>")
     for size in (100, 50_000):
-        got = regions_of(p, "k", "x", "y", q, "n", "ring", strip_rows=size).collect()
+        got = regions_of(p, "k", "x", "y", q, "n", "ring", leaf_rows=size).collect()
         assert {(g.id, g.region) for g in got} == want and len(got) == len(want)
     assert regions_of(p.limit(0), "k", "x", "y", q, "n", "ring").count() == 0
     assert regions_of(p, "k", "x", "y", q.limit(0), "n", "ring").count() == 0

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from stepfree.functions.geo import EARTH_RADIUS_M, chord
 from stepfree.operators.kdtree import KDTree, Planes, merge_labels
-from stepfree.operators.spatial import near_groups, near_pairs
+from stepfree.operators.spatial import fit_planes, near_groups, near_links, near_pairs
 
 
 def sphere_m(a, b):
@@ -100,3 +100,71 @@ def test_a_long_chain_over_many_leaves_is_one_group(spark):
 
 def test_chord_of_a_short_way():
     assert math.isclose(chord(8.0) * EARTH_RADIUS_M, 8.0, rel_tol=1e-9)
+
+
+def test_links_equal_the_pairs(spark):
+    r = np.random.default_rng(8)
+    spots = [(10 + a, 20 + b) for a, b in r.normal(0, 0.0001, (60, 2)).tolist()]
+    rows = [(f"i{k:04}", *spots[int(r.integers(60))]) for k in range(400)] + [("far", -50.0, 100.0), (None, 10.0, 20.0), ("nan", float("nan"), 1.0), ("i0000", 10.5, 20.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    pairs = near_pairs(df, "k", "a", "b", 8.0).collect()
+    for leaf_rows in (40, 100_000):
+        got = {x.id: x for x in near_links(df, "k", "a", "b", 8.0, leaf_rows, 300).collect()}
+        want = dict.fromkeys(got, 0)
+        for p in pairs:
+            want[p.id_a] += 1
+            want[p.id_b] += 1
+        assert len(got) == 401 and {k: x.n_links for k, x in got.items()} == want
+        places = {}
+        for k, a, b in rows[:401]:
+            if k not in ("i0000", None):
+                places.setdefault((a, b), set()).add(k)
+        assert all({got[k].place_id for k in ks} == {got[min(ks)].place_id} for ks in places.values())
+    assert near_links(df.limit(0), "k", "a", "b", 8.0).count() == 0
+
+
+def test_a_hot_place_is_divided(spark):
+    """All pairs of one place come out whole when its leaf is divided into blocks."""
+    rows = [(i, 5.0 if i < 900 else 5.0 + (i - 900) * 0.00002, 5.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k bigint, a double, b double")
+    planes, blocks = fit_planes(df, "a", "b", 50, 2000)
+    assert blocks.max() > 4
+    got = [(x.id_a, x.id_b) for x in near_pairs(df, "k", "a", "b", 8.0, 50, 2000).collect()]
+    want = brute({k: (a, b) for k, a, b in rows}, 8.0)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_at_one_place_are_held_in_small_parts():
+    """80,000 points at one place: 3.2 billion pairs, of which few are held at a time."""
+    import tracemalloc
+
+    tree = KDTree(np.zeros((80_000, 3)))
+    tracemalloc.start()
+    most = 0
+    for n, (i, _) in enumerate(tree.pairs(1.0)):
+        most = max(most, len(i))
+        if n == 20:
+            break
+    assert most <= 2_000_000 and tracemalloc.get_traced_memory()[1] < 500_000_000
+    tracemalloc.stop()
+
+
+def test_a_crowd_is_counted_without_its_pairs():
+    r = np.random.default_rng(3)
+    points = np.vstack([r.normal(0, 0.01, (200_000, 3)), [[50.0, 0, 0]]])
+    got = KDTree(points).weights_near(1.0, np.full(len(points), 2))
+    assert set(got[:-1]) == {400_000} and got[-1] == 2
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), max_size=120), st.sampled_from([1.0, 2.5, 9.0, 40.0]))
+def test_weights_and_two_trees_equal_brute_force(xy, radius):
+    pts = np.array([(x, y, 0.0) for x, y in xy], float).reshape(-1, 3)
+    near = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2) <= radius**2
+    weight = np.arange(1, len(pts) + 1)
+    assert KDTree(pts, bucket=3).weights_near(radius, weight).tolist() == (near * weight[None, :]).sum(axis=1).tolist()
+    half = len(pts) // 3
+    depth = KDTree.fitting(len(pts), 3)
+    a, b = KDTree(pts[:half], 3, depth), KDTree(pts[half:], 3, depth)
+    got = sorted((i, j + half) for x, y in a.pairs_with(b, radius) for i, j in zip(x.tolist(), y.tolist()))
+    assert got == [(i, j) for i in range(half) for j in range(half, len(pts)) if near[i, j]]
