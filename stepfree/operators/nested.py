@@ -16,7 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfree.session import cut
+
 _VARIANTS = "array<variant>"
+#: Records nested deeper than this end the job with an error.
+MOST_LEVELS = 64
 _NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
 
@@ -34,7 +38,8 @@ class Edge:
 @dataclass(frozen=True)
 class Leaf:
     """A scalar of an element. kind: text (JSON strings), label (strings or
-    numbers, as text), number (numbers or strings holding one), whole (integers)."""
+    numbers, as text), number (numbers or strings holding one), whole (integers),
+    strict (numbers only), size (how many values an array has, null for no array)."""
 
     element: str
     name: str
@@ -135,6 +140,7 @@ def scalar(value: str, path: str, kind: str) -> Column:
         "number": f"case when {is_number} or ({is_text} and rlike({text}, '{_NUMBER}')) then {as_number} end",
         "whole": f"case when {is_number} then try_cast({text} as bigint) end",
         "strict": f"case when {is_number} then {as_number} end",
+        "size": f"size(try_variant_get({value}, '{path}', '{_VARIANTS}'))",
     }
     return F.expr(forms[kind].replace("\\", "\\\\") if kind == "number" else forms[kind])
 
@@ -166,24 +172,20 @@ def parse_records(df: DataFrame, key: str, payload: str, received: str | None =
     return wrapped.where(f"w is not null and {fits}").select("key", F.expr("try_variant_get(w, '$.v', 'variant')").alias("v"))
 
 
-def _columns(graph: SchemaGraph, table: str) -> list[Column]:
+def _named(graph: SchemaGraph, table: str) -> list[tuple[str, Column]]:
+    """Name and column of the scalars of a table and of what is inlined into it."""
     out = []
     for element, path in graph.inlined(table):
         for leaf in graph.leaves:
             if leaf.element == element:
                 name = leaf.name if not path else f"{element}_{leaf.name}"
-                at = "$" + "".join(p if p.startswith("[") else f".{p}" for p in (*path, leaf.path))
-                out.append(scalar("v", at, leaf.kind).alias(name))
+                at = "$" + "".join(p if p.startswith("[") else f".{p}" for p in (*path, leaf.path) if p != "$")
+                out.append((name, scalar("v", at, leaf.kind).alias(name)))
     return out
 
 
-def shred_values(records: DataFrame, graph: SchemaGraph, max_depth: int = 1) -> dict[str, DataFrame]:
-    """Per table (key, id, parent_id, parent_table, pos, v), before typing.
-
-    `records` is (key, v). `pos` counts from 0 in the order written, over all the
-    paths of an edge. Elements that contain themselves are followed `max_depth`
-    levels below their first appearance; `deepest_level` tells how deep data go.
-    """
+def shred_values(records: DataFrame, graph: SchemaGraph, max_depth: int | None = None, keep: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Per table (key, id, parent_id, parent_table, pos, v), before typing; see `shred`."""
     found: dict[str, DataFrame] = {
         graph.root: records.select(
             "key", F.col("key").cast("string").alias("id"), F.lit(None).cast("string").alias("parent_id"),
@@ -191,52 +193,69 @@ def shred_values(records: DataFrame, graph: SchemaGraph, max_depth: int = 1) ->
         )
     }
     keys = graph.foreign_keys()
+    parents = {parent for _, parent, _, _ in keys}
 
     def below(parent: str, rows: DataFrame, edge: Edge, inside: tuple[str, ...]) -> DataFrame:
         tag = "/".join((*inside, edge.child))
         opened = rows.select("key", F.col("id").alias("parent_id"), F.posexplode(_children("v", edge, inside)).alias("pos", "v"))
-        return opened.select(
+        new = opened.select(
             "key", F.concat_ws(".", "parent_id", F.concat(F.lit(tag + ":"), F.col("pos").cast("string"))).alias("id"),
             "parent_id", F.lit(parent).alias("parent_table"), "pos", "v",
         )
-
-    # each way from the root through the tables is one branch; a way may enter a
-    # table again max_depth times
+        if keep and edge.child in keep:
+            new = new.select("*", *[c for _, c in _named(graph, edge.child)]).where(keep[edge.child]).select(*new.columns)
+        return new
+
+    def add(child: str, part: DataFrame) -> None:
+        found[child] = found[child].unionByName(part) if child in found else part
+
+    if max_depth is None:
+        # level by level: what is opened again is written once, so no branch is computed from the root
+        level = {graph.root: found[graph.root]}
+        for _ in range(MOST_LEVELS):
+            ahead: dict[str, DataFrame] = {}
+            for child, parent, edge, inside in keys:
+                if parent in level:
+                    part = below(parent, level[parent], edge, inside)
+                    ahead[child] = ahead[child].unionByName(part) if child in ahead else part
+            level = {}
+            for child, part in ahead.items():
+                if child in parents:
+                    part = cut(part)
+                    if part.take(1):
+                        level[child] = part
+                add(child, part)
+            if not level:
+                return found
+        raise ValueError(f"records are nested deeper than {MOST_LEVELS} levels")
+    # each way from the root through the tables is one branch
     frontier = [((graph.root,), found[graph.root])]
     while frontier:
-        ahead = []
+        longer = []
         for way, rows in frontier:
             for child, parent, edge, inside in keys:
                 if parent == way[-1] and way.count(child) <= max_depth:
                     part = below(parent, rows, edge, inside)
-                    found[child] = found[child].unionByName(part) if child in found else part
-                    ahead.append(((*way, child), part))
-        frontier = ahead
+                    add(child, part)
+                    longer.append(((*way, child), part))
+        frontier = longer
     return found
 
 
-def shred(records: DataFrame, graph: SchemaGraph, max_depth: int = 1) -> dict[str, DataFrame]:
+def shred(records: DataFrame, graph: SchemaGraph, max_depth: int | None = None, keep: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The flat tables of `graph`: key, id, parent_id, parent_table, pos and the
     inlined scalars. Values of another type than declared come out null; rows are
-    kept, so every child finds its parent. An empty input gives empty tables."""
-    values = shred_values(records, graph, max_depth)
-    return {t: df.select("key", "id", "parent_id", "parent_table", "pos", *_columns(graph, t)) for t, df in values.items()}
-
-
-def deepest_level(records: DataFrame, graph: SchemaGraph, table: str, limit: int = 32) -> int:
-    """How many levels below its first appearance a self-containing element goes."""
-    values = shred_values(records, graph, 0)[table]
-    loops = [(e, inside) for child, p, e, inside in graph.foreign_keys() if child == table and p == table]
-    for depth in range(limit):
-        if not loops:
-            return depth
-        nexts = [values.select(F.explode(_children("v", e, inside)).alias("v")) for e, inside in loops]
-        values = nexts[0]
-        for other in nexts[1:]:
-            values = values.unionByName(other)
-        if not values.take(1):
-            return depth
-    raise ValueError(f"{table} is nested deeper than {limit} levels")
+    kept, so every child finds its parent. An empty input gives empty tables.
+
+    `records` is (key, v). `pos` counts from 0 in the order written, over all the
+    paths of an edge; an id is its parent's id, a dot, and "table:pos". Elements that
+    contain themselves are followed to the end, level by level, each level written
+    once; a `max_depth` follows them so many times and writes nothing. `keep` has
+    conditions on columns of tables: other rows are left out with all below them,
+    before anything in them is opened.
+    """
+    values = shred_values(records, graph, max_depth, keep)
+    return {t: df.select("key", "id", "parent_id", "parent_table", "pos", *[c for _, c in _named(graph, t)]) for t, df in values.items()}
 
 
 #: Image predictions: an array of items, or an object with `items`, or one with
@@ -265,35 +284,33 @@ PREDICTIONS = SchemaGraph(
         Leaf("review", "verdict", "verdict", "text"),
         Leaf("point", "x", "[0]", "strict"),
         Leaf("point", "y", "[1]", "strict"),
+        Leaf("point", "n_values", "$", "size"),
         Leaf("occluder", "class_name", "class_name", "text"),
         Leaf("occluder", "confidence", "confidence", "number"),
     ),
 )
 
 
+#: What makes items and detections valid; what is not is left out with all below it.
+VALID = {
+    "item": r"image_id rlike '\\S'",
+    "detection": r"class_name rlike '\\S' and confidence > 0",
+}
+
+
 def valid_points(records: DataFrame) -> DataFrame:
-    """(key, item_pos, det_pos, point_pos, image_id, class_name, confidence, x, y):
-    one row per valid point of `records(key, v)`.
-
-    The chain item, detection, point of `PREDICTIONS` is opened in one pass with
-    each step's filter before the next one is opened. Valid: an item with a
-    non-blank image_id (text or number) and an array of detections; a detection
-    directly in it with a non-blank class_name text and a confidence above 0; a
-    point that is an array of exactly two numbers. Invalid ones keep their
-    position and give no row. Detections inside reviews belong to other rows of
-    the detection table and are not opened here.
+    """(key, item_pos, det_pos, point_pos, x, y): one row per valid point of `records`.
+
+    The rows of the point table of `shred` whose detection stands directly in an item
+    (detections inside reviews are other rows of the detection table), with the
+    positions read off the row's key. Valid: an item with a non-blank image_id (text
+    or number) and an array of detections; a detection with a non-blank class_name text
+    and a confidence above 0; a point that is an array of exactly two numbers. Invalid
+    ones keep their position and give no row. The conditions are given to `shred`, so
+    all of it is one pass without a shuffle.
     """
-    by_child = {(e.parent, e.child): e for e in PREDICTIONS.edges}
-    items = records.select("key", F.posexplode(_children("v", by_child["record", "item"], ())).alias("item_pos", "v"))
-    items = items.select("key", "item_pos", "v", scalar("v", "$.image_id", "label").alias("image_id"))
-    items = items.where(F.col("image_id").rlike(r"\S"))
-    dets = items.select("key", "item_pos", "image_id", F.posexplode(_children("v", by_child["item", "detection"], ())).alias("det_pos", "v"))
-    dets = dets.select("*", scalar("v", "$.class_name", "text").alias("class_name"), scalar("v", "$.confidence", "number").alias("confidence"))
-    dets = dets.where(F.col("class_name").rlike(r"\S") & (F.col("confidence") > 0))
-    points = dets.select("*", F.posexplode(_children("v", by_child["detection", "point"], ())).alias("point_pos", "p")).drop("v")
-    pair = F.expr(f"try_variant_get(p, '$', '{_VARIANTS}')")
-    points = points.withColumn("pair", pair).where(F.size("pair") == 2)
-    x, y = scalar("pair[0]", "$", "strict"), scalar("pair[1]", "$", "strict")
-    return points.select(
-        "key", "item_pos", "det_pos", "point_pos", "image_id", "class_name", "confidence", x.alias("x"), y.alias("y")
-    ).where("x is not null and y is not null")
+    points = shred(records, PREDICTIONS, 0, VALID)["point"].where("n_values = 2 and x is not null and y is not null")
+    way = F.substring("parent_id", F.length(F.col("key").cast("string")) + 2, F.lit(2**31 - 1))
+    steps = F.split(way, r"\.")
+    number = lambda i: F.substring_index(steps[i], ":", -1).cast("int")
+    return points.where(F.size(steps) == 2).select("key", number(0).alias("item_pos"), number(1).alias("det_pos"), F.col("pos").alias("point_pos"), "x", "y")

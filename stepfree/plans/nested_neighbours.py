@@ -24,9 +24,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _flat(name: str):  # noqa: ANN202
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        records = cut(_records(spark, sf))
-        depth = nested.deepest_level(records, nested.PREDICTIONS, "detection")
-        return nested.shred(records, nested.PREDICTIONS, depth)[name].withColumnRenamed("key", "record_id")
+        return nested.shred(cut(_records(spark, sf)), nested.PREDICTIONS)[name].withColumnRenamed("key", "record_id")
 
     return query
 
@@ -85,6 +83,32 @@ _TEXT_OR_NUMBER = "('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
 _NUMBERS = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
 _NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
+_TREE = f"""{_ITEMS.replace("with firsts", "with recursive firsts", 1)}, dets as (
+      select record_id, id || '.detection:' || (i - 1)::varchar as id, id as parent_id, 'item' as parent_table, (i - 1)::integer as pos, l[i] as v from (
+        select record_id, record_id::varchar || '.item:' || item_pos::varchar as id, json_extract(v, '$.detections[*]') as l, unnest(range(1, len(l) + 1)) as i
+        from items where json_type(v, '$.detections') = 'ARRAY')
+      union all
+      select record_id, id || '.review/detection:' || (i - 1)::varchar, id, 'detection', (i - 1)::integer, l[i] from (
+        select record_id, id, json_extract(v, '$.review.detections[*]') as l, unnest(range(1, len(l) + 1)) as i
+        from dets where json_type(v, '$.review.detections') = 'ARRAY')
+    )"""
+
+
+def _text(path: str) -> str:
+    return f"case when json_type(v, '{path}') = 'VARCHAR' then json_extract_string(v, '{path}') end"
+
+
+def _number(path: str) -> str:
+    said = f"json_extract_string(v, '{path}')"
+    return f"case when json_type(v, '{path}') in {_NUMBERS} or (json_type(v, '{path}') = 'VARCHAR' and regexp_matches({said}, '{_NUMBER}')) then try_cast({said} as double) end"
+
+
+def _below(path: str, tag: str) -> str:
+    """Rows of an array inside a detection."""
+    return f"""select record_id, id || '.{tag}:' || (i - 1)::varchar as id, id as parent_id, 'detection' as parent_table, (i - 1)::integer as pos, l[i] as v from (
+        select record_id, id, json_extract(v, '{path}[*]') as l, unnest(range(1, len(l) + 1)) as i from dets where json_type(v, '{path}') = 'ARRAY')"""
+
+
 _NEAR = """
         with rows_ as (
           select image_id as id, min(struct_pack(lat := latitude, lon := longitude)) as p from manifest
@@ -126,6 +150,19 @@ ORACLE = {
                case when json_type(v, '$.image_width') in {_NUMBERS} then json_extract_string(v, '$.image_width')::bigint end as image_width,
                case when json_type(v, '$.image_height') in {_NUMBERS} then json_extract_string(v, '$.image_height')::bigint end as image_height
         from items""",
+    "p2_records": f"""{_ITEMS}
+        select record_id, record_id::varchar as id, null::varchar as parent_id, null::varchar as parent_table, 0 as pos,
+               case when json_type(p, '$.run.run_id') in {_TEXT_OR_NUMBER} then json_extract_string(p, '$.run.run_id') end as run_id,
+               case when json_type(p, '$.run.device') = 'VARCHAR' then json_extract_string(p, '$.run.device') end as run_device from good""",
+    "p2_detections": f"""{_TREE}
+        select record_id, id, parent_id, parent_table, pos, {_text("$.class_name")} as class_name, {_number("$.confidence")} as confidence,
+               {_number("$.occlusion.ratio")} as occlusion_ratio, {_text("$.review.verdict")} as review_verdict from dets""",
+    "p2_points": f"""{_TREE}, points as ({_below("$.polygon_xy", "point")})
+        select record_id, id, parent_id, parent_table, pos, case when json_type(v, '$[0]') in {_NUMBERS} then json_extract_string(v, '$[0]')::double end as x,
+               case when json_type(v, '$[1]') in {_NUMBERS} then json_extract_string(v, '$[1]')::double end as y,
+               case when json_type(v) = 'ARRAY' then json_array_length(v)::integer end as n_values from points""",
+    "p2_occluders": f"""{_TREE}, occluders as ({_below("$.occlusion.by", "occlusion/occluder")})
+        select record_id, id, parent_id, parent_table, pos, {_text("$.class_name")} as class_name, {_number("$.confidence")} as confidence from occluders""",
     "p4_found": f"""{_NEAR} select * from pairs""",
     "p4_links": f"""{_NEAR}, links as (select image_id_a as id, count(*) as n from pairs group by 1 union all select image_id_b, count(*) from pairs group by 1)
         select r.id as image_id, min(r.id) over (partition by r.p) as place_id, coalesce((select sum(n) from links l where l.id = r.id), 0)::bigint as n_links from rows_ r""",

@@ -64,9 +64,11 @@ def test_elements_that_contain_each_other_get_one_table():
 
 def test_children_find_their_parents_and_recursion_is_followed(spark):
     recs = N.parse_records(frame(spark, [[ITEM, *BAD], {"items": [ITEM]}]), "id", "payload")
-    depth = N.deepest_level(recs, N.PREDICTIONS, "detection")
-    assert depth == 2
-    tables = {k: v.collect() for k, v in N.shred(recs, N.PREDICTIONS, depth).items()}
+    tables = {k: v.collect() for k, v in N.shred(recs, N.PREDICTIONS).items()}
+    ways = {k: sorted(v.collect()) for k, v in N.shred(recs, N.PREDICTIONS, 2).items()}
+    assert {k: sorted(v) for k, v in tables.items()} == ways  # two levels of reviews
+    fewer = {k: v.count() for k, v in N.shred(recs, N.PREDICTIONS, 1).items()}
+    assert fewer["detection"] < len(tables["detection"]) and fewer["item"] == len(tables["item"])
     for rows in tables.values():
         assert len({r.id for r in rows}) == len(rows)
         for r in rows:
@@ -78,3 +80,11 @@ def test_children_find_their_parents_and_recursion_is_followed(spark):
     bench = next(r for r in tables["detection"] if r.class_name == "Bench")
     assert bench.occlusion_ratio == 0.1 and bench.review_verdict == "present"
     assert {r.class_name for r in tables["detection"] if r.parent_table == "detection"} == {"Curb", "Deep"}
+
+
+def test_rows_left_out_take_what_is_below_with_them(spark):
+    recs = N.parse_records(frame(spark, [[ITEM, *BAD]]), "id", "payload")
+    tables = N.shred(recs, N.PREDICTIONS, 0, {"detection": "class_name = 'Curb'"})
+    dets = {r.id for r in tables["detection"].collect()}
+    assert dets and {r.parent_id for r in tables["point"].collect()} <= dets
+    assert {r.class_name for r in tables["detection"].collect()} == {"Curb"}
