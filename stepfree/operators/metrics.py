@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfree.functions.stats import fair_draw, fixed, units, wilcoxon
+from stepfree.functions.stats import fair_draw, fixed, running_totals, units, wilcoxon
 
 GRADE_MARGIN_M = 5.0
 STEEP = 0.0833
@@ -121,17 +121,15 @@ def ecdf(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by..., value, share): the empirical distribution at every different value:
     counted first, so the running total goes over values and not over rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.select(*by, value, (upto / F.sum("_n").over(w)).alias("share"))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    return running_totals(counts, by, value, "_n", "_upto").join(total, by).select(*by, value, (F.col("_upto") / F.col("_all")).alias("share"))
 
 
 def element_at_share(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
     """(by..., value): the sorted element with index floor(share * (n - 1))."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counts.withColumns({"_upto": upto, "_at": F.floor(share * (F.sum("_n").over(w) - 1))})
+    at = counts.groupBy(*by).agg(F.floor(share * (F.sum("_n") - 1)).alias("_at"))
+    placed = running_totals(counts, by, value, "_n", "_upto").join(at, by)
     return placed.where(F.col("_upto") > F.col("_at")).groupBy(*by).agg(F.min(value).alias(value))
 
 

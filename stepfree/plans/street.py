@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfree.functions import geo, tags as T
+from stepfree.functions.geo import EARTH_RADIUS_M
 from stepfree.functions.labels import BARRIER_WEIGHT, CLASS_OF_KEY, CLASSES, EVIDENCE_OF_KEY, output_class
 from stepfree.functions.polygon import shoelace_area, valid_points
 from stepfree.functions.stats import fixed
@@ -528,10 +529,14 @@ ORACLE = {
         where not exists (select 1 from labels l where l.segment_id = w.segment_id and l.attribute = w.attribute)""",
     "segment_midpoints": f"""with {_EDGES} select {_SEG.format(u="u", v="v", k="k")} as segment_id, min((a.y + b.y, a.x + b.x))[1] / 2 as lat, min((a.y + b.y, a.x + b.x))[2] / 2 as lon
         from edges e left join nodes a on a.node_id = e.u left join nodes b on b.node_id = e.v group by 1""",
-    "nearest_node": f"""with {_PLACED}, im as (select image_id, {_MERIDIAN} as zone, east, north from ({geo.projected("placed", "latitude", "longitude", _MERIDIAN)})),
-        at_ as (select node_id, {geo.zone_meridian("x")} as zone, east as e, north as n from ({geo.projected("nodes", "y", "x", geo.zone_meridian("x"))})),
-        d as (select image_id, node_id, sqrt(pow(east - e, 2) + pow(north - n, 2)) as dist from im join at_ using (zone))
-        select image_id, node_id, {_fix("dist", 3)} as dist from (select *, row_number() over (partition by image_id order by dist, node_id) as rn from d where dist <= 400) where rn = 1""",
+    "nearest_node": f"""with {_PLACED}, far as (select image_id, node_id, latitude, longitude, y, x, {_MERIDIAN} as zone,
+          2 * {EARTH_RADIUS_M}::double * asin(least(1.0, sqrt(pow(sin(radians(y - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(y)) * pow(sin(radians(x - longitude) / 2), 2)))) as arc
+        from placed, nodes where node_id is not null and abs(y) <= 90 and abs(x) <= 180),
+        close as (select * from far where arc <= {1.02 * N.PLANE_M + 1000} and abs(latitude) <= 84),
+        a as (select image_id, node_id, east, north from ({geo.projected("close", "latitude", "longitude", "zone")})), b as (select image_id, node_id, east as e, north as n from ({geo.projected("close", "y", "x", "zone")})),
+        d as (select image_id, node_id, false as off, sqrt(pow(east - e, 2) + pow(north - n, 2)) as dist from a join b using (image_id, node_id) where sqrt(pow(east - e, 2) + pow(north - n, 2)) <= {N.PLANE_M}
+          union all select image_id, node_id, true, arc from far)
+        select image_id, node_id, {_fix("dist", 3)} as dist from (select *, row_number() over (partition by image_id order by off, dist, node_id) as rn from d) where rn = 1""",
     "condition_cost": f"with {_costed(_ONE)} select condition, u, v, k, ramp_present, ramp_present_imputed, fixed_obstacle_present, {_fix('cost')} as cost from costed",
     "weight_grid_cost": f"with {_costed(_NINE)} select condition, cfg_id, count(*) as n, sum(floor(cost * 1e6 + 0.5)::bigint)::bigint / 1e6 as total from costed group by condition, cfg_id",
     "guard_violations": f"""with {_costed(_ONE)} select 'baseline_ramps' as guard, count(*) filter (where condition = 'baseline' and ramp_present <> 'absent') as violations from costed
