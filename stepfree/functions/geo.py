@@ -115,4 +115,4 @@ def add_projection(df: DataFrame, lat: str, lon: str, meridian: str | None = Non
     keep = df.columns
     sql = projected("{df}", lat, lon, meridian or zone_meridian(lon))
     out = df.sparkSession.sql(sql, df=df)
-    return out.select(*keep, F.expr(meridian or zone_meridian(lon)).cast("int").alias("zone"), "east", "north")
+    return out.select(*[c for c in keep if c != "zone"], F.expr(meridian or zone_meridian(lon)).cast("int").alias("zone"), "east", "north")

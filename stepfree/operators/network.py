@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stepfree.functions import tags as T
 from stepfree.functions.cost import CostConfig, edge_cost
-from stepfree.functions.geo import EARTH_RADIUS_M, add_projection, project
+from stepfree.functions.geo import EARTH_RADIUS_M, add_projection, project, zone_meridian
 from stepfree.functions.labels import evidence_attribute, lookup
 from stepfree.functions.tags import ABSENT, PRESENT, UNKNOWN
 from stepfree.functions.vision import pinhole_width
@@ -90,11 +90,38 @@ def segment_id(u: Column, v: Column, k: Column) -> Column:
     return F.concat_ws("_", F.least(a, b), F.greatest(a, b), k.cast("string"))
 
 
+#: Degrees of longitude times the cosine of latitude that make a bit more than `MOST_SNAP_M`.
+_NEAR_SEAM = 3e-4
+
+
+def zones_of_ends(x0: str, y0: str, x1: str, y1: str) -> list[str]:
+    """SQL of the zones that an edge's ends are in or within reach of."""
+    out = []
+    for x, y in ((x0, y0), (x1, y1)):
+        for sign in ("-", "+"):
+            moved = f"({x} {sign} {_NEAR_SEAM} / cos(radians(least(abs({y}), 85.0))))"
+            out.append(zone_meridian(f"({moved} - 360 * floor(({moved} + 180) / 360))"))
+    return out
+
+
+def in_zones(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with zone and the east and north of both ends on its plane, once for each
+    zone an edge may have images in: one, but for those at a seam."""
+    both = with_nodes(edges, nodes.select("node_id", "x", "y"), "x", "y").where("x_u is not null and x_v is not null and y_u is not null and y_v is not null")
+    zones = F.array_distinct(F.array(*[F.expr(z).cast("int") for z in zones_of_ends("x_u", "y_u", "x_v", "y_v")]))
+    out = both.withColumn("zone", F.explode(zones))
+    for end in "uv":
+        at = add_projection(out, f"y_{end}", f"x_{end}", "zone").select(*out.columns, F.col("east").alias(f"east_{end}"), F.col("north").alias(f"north_{end}"))
+        out = at
+    return out.drop("x_u", "x_v", "y_u", "y_v")
+
+
 def snap(images: DataFrame, edges: DataFrame, nodes: DataFrame, most_m: float = MOST_SNAP_M) -> DataFrame:
     """(image_id, u, v, k, dist): each image's nearest edge, at most `most_m` away.
 
     Images are (image_id, latitude, longitude), usable and unique. Equal distances
-    go to the least (u, v, k). Edges are straight; they are laid into square cells
+    go to the least (u, v, k). Each image is measured on the plane of its own 6-degree
+    zone; an edge lies on the planes of all zones its ends are in or near. Edges are straight; they are laid into square cells
     along their course, wide enough that an image need only look into its own cell:
     an equi-join instead of a comparison of all with all.
     """
@@ -102,13 +129,12 @@ def snap(images: DataFrame, edges: DataFrame, nodes: DataFrame, most_m: float =
         raise ValueError(f"at most {_CELL_M / 2} m")
     im = add_projection(images, "latitude", "longitude")
     im = im.select("image_id", "zone", "east", "north", F.floor(F.col("east") / _CELL_M).alias("cx"), F.floor(F.col("north") / _CELL_M).alias("cy"))
-    at = add_projection(nodes.select("node_id", "x", "y"), "y", "x").select("node_id", "zone", "east", "north")
-    ends = with_nodes(edges.select(*KEY), at, "zone", "east", "north").where("zone_u = zone_v")
+    ends = in_zones(edges.select(*KEY), nodes)
     # the same arithmetic for both directions, so that twins tie exactly
     flip = F.col("u") > F.col("v")
     pick = lambda c, a, b: F.when(flip, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}"))
     lines = ends.select(
-        *KEY, F.col("zone_u").alias("zone"), pick("east", "u", "v").alias("x0"), pick("north", "u", "v").alias("y0"),
+        *KEY, "zone", pick("east", "u", "v").alias("x0"), pick("north", "u", "v").alias("y0"),
         pick("east", "v", "u").alias("x1"), pick("north", "v", "u").alias("y1"),
     )
     long = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))

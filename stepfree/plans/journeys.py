@@ -257,9 +257,13 @@ def raster_sample(s: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
-    at = add_projection(S.nodes(s, d), "y", "x").select("node_id", "zone", "east", "north", N.valid_elevation(F.col("elevation")).alias("z"))
-    both = N.with_nodes(S.edges(s, d).select(*N.KEY), at, "zone", "east", "north", "z").where("zone_u = zone_v and u < v")
-    return both.select(*N.KEY, F.col("east_u").alias("x0"), F.col("north_u").alias("y0"), F.col("east_v").alias("x1"), F.col("north_v").alias("y1"), F.col("z_u").alias("z"))
+    """One straight line per undirected segment, on the plane of its lesser end's zone."""
+    one = S.edges(s, d).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "k").where("u <> v").distinct()
+    at = S.nodes(s, d).select("node_id", "x", "y", N.valid_elevation(F.col("elevation")).alias("z"))
+    both = N.with_nodes(one, at, "x", "y", "z").where("x_u is not null and x_v is not null").withColumn("zone", F.expr(zone_meridian("x_u")))
+    for end, n in (("u", 0), ("v", 1)):
+        both = add_projection(both, f"y_{end}", f"x_{end}", "zone").withColumnsRenamed({"east": f"x{n}", "north": f"y{n}"})
+    return both.select(*N.KEY, "x0", "y0", "x1", "y1", F.col("z_u").alias("z"))
 
 
 def densify_lines(s: SparkSession, d: str) -> DataFrame:
@@ -291,11 +295,12 @@ _NUMBERED = f"""spots as (select node_id, {zone_meridian("x")} as zone, east, no
 
 
 _TAGS = [f"array_to_string(case when len(tags['{t}']) > 0 then tags['{t}'] end, ';') as \"{t}\"" for t in S.T.WAY_TAGS]
-_LINES = f"""{_EDGES}, spots as (select node_id, {zone_meridian("x")} as zone, east, north,
-    case when not (isnan(elevation) or abs(elevation + 9999) <= 0.09999 or elevation < 0 or elevation > 3000) then elevation end as z
-    from ({projected("nodes", "y", "x", zone_meridian("x"))})),
-  lines as (select u, v, k, a.east as x0, a.north as y0, b.east as x1, b.north as y1, a.z as z, sqrt(pow(b.east - a.east, 2) + pow(b.north - a.north, 2)) as len
-    from edges e join at_ a on a.node_id = e.u join at_ b on b.node_id = e.v where a.zone = b.zone and u < v),
+_LINES = f"""{_EDGES}, one as (select distinct least(u, v) as u, greatest(u, v) as v, k from edges where u <> v),
+  ends as (select o.u, o.v, o.k, a.x as xu, a.y as yu, b.x as xv, b.y as yv, {zone_meridian("a.x")} as zone,
+    case when not (isnan(a.elevation) or abs(a.elevation + 9999) <= 0.09999 or a.elevation < 0 or a.elevation > 3000) then a.elevation end as z
+    from one o join nodes a on a.node_id = o.u join nodes b on b.node_id = o.v),
+  eu as (select u, v, k, z, zone, xv, yv, east as x0, north as y0 from ({projected("ends", "yu", "xu", "zone")})),
+  lines as (select u, v, k, z, x0, y0, x1, y1, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) as len from (select u, v, k, z, x0, y0, east as x1, north as y1 from ({projected("eu", "yv", "xv", "zone")}))),
   dense as (select u, v, k, i, x0 + (x1 - x0) * (i::double / n) as x, y0 + (y1 - y0) * (i::double / n) as y, z
     from (select *, greatest(floor(len / 20), 2)::bigint as n from lines where len > 0), lateral (select unnest(range(0, n + 1)) as i))"""
 
@@ -449,6 +454,11 @@ ORACLE = {
         rates as (select unnest(['route_diff_rate', 'improvement_rate_of_differ', 'net_improvement_rate_of_all', 'obstacles_avoided']) as metric,
           unnest([route_diff_rate, improvement_rate_of_differ, net_improvement_rate_of_all, (obstacles_base - obstacles_full)::double]) as value from done)
         select metric, {_fix("avg(value)")} as mean, {_fix("stddev_pop(value)")} as sd, {_fix("min(value)")} as least, {_fix("max(value)")} as most from rates group by metric""",
+    "slope_models": " union all ".join(
+        f"""(with recursive {_costed(_ONE, protect)}, {_od()}, {_routes_of("condition in ('baseline', 'full_validated')")}, {_hazards()}, {_paired_sql()}, {_compared_sql("condition")}
+        select '{name}' as model, n_solved, n_differ, n_regression, {_rates("improvement_rate_of_differ")} from done)"""
+        for name, protect in (("naive", False), ("protected", True))
+    ),
     "decomposition": f"""{_SCORED}, {_compared_sql("condition")} select condition, unnest(['unchanged', 'improvement', 'regression', 'neutral', 'mixed']) as outcome,
         unnest([{", ".join(_fix(f"n_{k}::double / n_solved", 9) for k in ("unchanged", "improvement", "regression", "neutral", "mixed"))}]) as share from done""",
     "overlay_pair": f"""{_SCORED} select pair_id, obstacles_base, obstacles_full from twos where condition = 'full_validated' and obstacles_full < obstacles_base order by pair_id limit 1""",

@@ -330,11 +330,12 @@ _MAP = f"""map_evidence as (
   from (select e.*, a.tags as ut, b.tags as vt from edges e left join nodes a on a.node_id = e.u left join nodes b on b.node_id = e.v))"""
 _MERIDIAN = geo.zone_meridian("longitude")
 _SNAP = f"""im as (select *, {_MERIDIAN} as zone from ({geo.projected("placed", "latitude", "longitude", _MERIDIAN)})),
-  at_ as (select node_id, {geo.zone_meridian("x")} as zone, east, north from ({geo.projected("nodes", "y", "x", geo.zone_meridian("x"))})),
+  ends as (select e.u, e.v, e.k, a.x as xu, a.y as yu, b.x as xv, b.y as yv, unnest(list_distinct([{", ".join(N.zones_of_ends("a.x", "a.y", "b.x", "b.y"))}])) as zone
+    from edges e join nodes a on a.node_id = e.u join nodes b on b.node_id = e.v),
+  eu as (select u, v, k, zone, xv, yv, east as eu, north as nu from ({geo.projected("ends", "yu", "xu", "zone")})),
+  ev as (select u, v, k, zone, eu, nu, east as ev, north as nv from ({geo.projected("eu", "yv", "xv", "zone")})),
   lines as (
-    select e.u, e.v, e.k, a.zone, case when e.u > e.v then b.east else a.east end as x0, case when e.u > e.v then b.north else a.north end as y0,
-           case when e.u > e.v then a.east else b.east end as x1, case when e.u > e.v then a.north else b.north end as y1
-    from edges e join at_ a on a.node_id = e.u join at_ b on b.node_id = e.v where a.zone = b.zone),
+    select u, v, k, zone, case when u > v then ev else eu end as x0, case when u > v then nv else nu end as y0, case when u > v then eu else ev end as x1, case when u > v then nu else nv end as y1 from ev),
   cand as (
     select image_id, u, v, k, east, north, x0, y0, x1, y1, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as l2
     from im join lines on im.zone = lines.zone and east between least(x0, x1) - 26 and greatest(x0, x1) + 26 and north between least(y0, y1) - 26 and greatest(y0, y1) + 26),
@@ -385,7 +386,9 @@ _WIDE = """wide as (
 _SLOPE = """case when g <= 0.03 then 1.0 when g <= 0.0833 then 1 + (g - 0.03) / (0.0833 - 0.03) * (1.5 - 1) else least(1.5 + 8.0 * (g - 0.0833), 2.3) end"""
 
 
-def _costed(grid: str) -> str:
+def _costed(grid: str, protect: bool = True) -> str:
+    surface, ramp = "(case surface_material_tier when 'good' then 1.0 when 'poor' then 1.4 else 1.15 end)::double", "(case when ramp_present = 'present' and ramp_present_imputed = false then discount else 1.0 end)::double"
+    travel = f"length * {surface} * ({ramp} + ({_SLOPE})::double - 1)" if protect else f"{ramp} * length * {surface} * ({_SLOPE})::double"
     return f"""{_ALL}, {_FUSED}, {_LABELS}, {_WIDE}, conds as (
       select unnest(['baseline', 'full_validated', 'full_raw', 'ramp_only', 'obstacle_only']) as condition,
              unnest(['baseline', 'validated', 'raw', 'validated', 'baseline']) as r, unnest(['baseline', 'validated', 'raw', 'baseline', 'validated']) as o),
@@ -397,8 +400,7 @@ def _costed(grid: str) -> str:
              case o when 'raw' then fixed_obstacle_present when 'validated' then coalesce(stop_v, 'unknown') else 'unknown' end as fixed_obstacle_present
       from fused left join wide on wide.segment_id = {_SEG.format(u="u", v="v", k="k")}, conds, grid),
     costed as (
-      select *, length * (case surface_material_tier when 'good' then 1.0 when 'poor' then 1.4 else 1.15 end)::double
-                * ((case when ramp_present = 'present' and ramp_present_imputed = false then discount else 1.0 end)::double + ({_SLOPE})::double - 1)
+      select *, {travel}
                 + (case when fixed_obstacle_present = 'present' then penalty else 0 end)::double
                 + (case when steps_present = 'present' then 500 else 0 end)::double as cost
       from rows_)"""

@@ -178,3 +178,14 @@ def test_downselect_prefers_the_newest_and_null_text_first(spark):
 def test_greedy_order():
     assert N.greedy_order([("a", 0.0, 0.0), ("b", 2.0, 0.0), ("c", 1.0, 0.0), ("d", 2.0, 0.5)]) == ["b", "d", "c", "a"]
     assert N.greedy_order([]) == []
+
+
+def test_images_at_a_seam_of_zones_find_edges_on_both_sides(spark):
+    # the seam at -60 degrees: an edge over it, one on its east side, and images on either side
+    nodes = spark.createDataFrame([(1, -60.0005, -23.0), (2, -59.9995, -23.0), (3, -59.9999, -23.001), (4, -59.9990, -23.001), (5, 179.9999, 10.0), (6, -179.9999, 10.0)], "node_id bigint, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 0), (2, 1, 0), (3, 4, 0), (5, 6, 0)], "u bigint, v bigint, k int")
+    spots = [("west", -23.0001, -60.0002), ("east", -23.0001, -59.9998), ("across", -23.00101, -60.00002), ("line", 10.00005, 180.0), ("none", -23.1, -60.0)]
+    images = spark.createDataFrame(spots, "image_id string, latitude double, longitude double")
+    got = {r.image_id: (r.u, r.v, round(r.dist)) for r in N.snap(images, edges, nodes).collect()}
+    assert set(got) == {"west", "east", "across", "line"}
+    assert got["west"] == got["east"] == (1, 2, 11) and got["across"][:2] == (3, 4) and 10 <= got["across"][2] <= 14 and got["line"][:2] == (5, 6)
