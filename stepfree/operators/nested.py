@@ -155,6 +155,12 @@ def whole_json(payload: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit(',"'), mark, F.lit('":0}')))
 
 
+def is_whole(payload: Column) -> Column:
+    """Whether a text is one whole JSON value."""
+    held = whole_json(payload).cast("map<string, variant>")
+    return F.coalesce(F.map_contains_key(held, F.md5(payload)) & (F.size(held) == 2), F.lit(False))
+
+
 def parse_records(df: DataFrame, key: str, payload: str, received: str | None = None) -> DataFrame:
     """(key, v) for each key's first delivery that is whole JSON.
 

@@ -44,6 +44,14 @@ def _paired(s: SparkSession, d: str, steep: float = M.STEEP) -> DataFrame:
     return M.paired(M.hazards(r, truth, steep))
 
 
+def experiment(s: SparkSession, d: str, pairs: int = PAIRS, seed: int = 42, steep: float = M.STEEP) -> DataFrame:
+    """(condition, document) of the comparison over `pairs` pairs drawn under `seed`."""
+    truth = cut(S.validated(s, d))
+    drawn = sampling.od_pairs(S.nodes(s, d), pairs, seeds=[seed]).select("pair_id", "o", "d")
+    both = cut(M.paired(M.hazards(cut(routing.routes(_parallel(N.condition_edges(truth)), drawn)), truth, steep)))
+    return M.results_json(M.with_tests(M.compare(both, ["condition"]), both, ["condition"]))
+
+
 def shortest_routes(s: SparkSession, d: str) -> DataFrame:
     _, r, _ = _routed(s, d)
     return r.select("condition", "pair_id", F.size("edge_keys").alias("hops"), fixed(F.col("cost")).alias("cost"), F.array_join("nodes", ">").alias("path"))

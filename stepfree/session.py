@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests, one
-    machine) a folder of our own is set."""
+    """The cluster's shared folder; only where none is configured and the master is
+    local (tests, one machine) a folder of our own is set. A cluster without one is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="stepfree-checkpoint-"))
     return configured or context.getCheckpointDir()
 

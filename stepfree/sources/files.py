@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from stepfree.operators.images import RAW_IMAGE, hash_split, required_or_fail
-from stepfree.operators.nested import PREDICTIONS, parse_records, shred
+from stepfree.operators.nested import PREDICTIONS, is_whole, parse_records, shred
 
 TILE_LIMIT, TILE_WARN = 2000, 1800
 NODES = "node_id bigint, x double, y double, elevation double, tags map<string,array<string>>"
@@ -45,17 +45,36 @@ def read_manifest(spark: SparkSession, path: str, train: float = 0.85, city: str
     return rows.where(F.when(sound, (F.lower(F.trim("city")) == city.lower()) & (F.trim("city") != "")))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, class_name, confidence, polygon_xy) of prediction files (each file
-    one JSON document); the last document that has an image holds for it."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
-    records = parse_records(files, "file", "payload")
-    tables = shred(records, PREDICTIONS, 0)
+def read_predictions(spark: SparkSession, path: str, sizes: bool = False, lines: bool = False) -> DataFrame:
+    """(image_id, class_name, confidence, polygon_xy) of prediction files, with image_width
+    and image_height if `sizes`; the last document that has an image holds for it.
+
+    A file is one JSON document or has a document on every line; `lines` says that
+    all of them have, so that large files are read in parts.
+    """
+    files = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
+    if lines:
+        records = files.select(F.concat_ws("#", "file", F.format_string("%020d", F.monotonically_increasing_id())).alias("file"), "payload").where(r"payload rlike '\\S'")
+    else:
+        parts = F.when(is_whole(F.col("payload")), F.array("payload")).otherwise(F.filter(F.split("payload", r"\r?\n"), lambda l: F.trim(l) != ""))
+        records = files.select("file", F.posexplode(parts).alias("n", "payload")).select(F.format_string("%s#%012d", "file", "n").alias("file"), "payload")
+    # a document may be one image, as `write_predictions` has them
+    alone = F.col("payload").rlike(r"^\s*\{") & F.get_json_object("payload", "$.image_id").isNotNull()
+    records = records.withColumn("payload", F.when(alone, F.concat(F.lit("["), "payload", F.lit("]"))).otherwise(F.col("payload")))
+    tables = shred(parse_records(records, "file", "payload"), PREDICTIONS, 0)
     points = tables["point"].where("x is not null and y is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.array("x", "y").alias("p")))).alias("s"))
     polygons = points.select(F.col("parent_id").alias("id"), F.transform("s", lambda s: s["p"]).alias("polygon_xy"))
-    images = tables["item"].where("trim(image_id) <> ''").groupBy("image_id").agg(F.max(F.struct("key", "pos", "id")).alias("m"))
+    images = tables["item"].where("trim(image_id) <> ''").groupBy("image_id").agg(F.max(F.struct("key", "pos", "id", "image_width", "image_height")).alias("m"))
     dets = tables["detection"].where("trim(class_name) <> '' and confidence > 0").join(polygons, "id")
-    return dets.join(images.select("image_id", F.col("m.id").alias("parent_id")), "parent_id").select("image_id", "class_name", "confidence", "polygon_xy")
+    images = images.select("image_id", F.col("m.id").alias("parent_id"), "m.image_width", "m.image_height")
+    return dets.join(images, "parent_id").select("image_id", "class_name", "confidence", "polygon_xy", *(["image_width", "image_height"] if sizes else []))
+
+
+def read_snapshot(spark: SparkSession, path: str, day: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """(nodes, edges, day) of a dated snapshot, of the latest one by the pointer if no day is given."""
+    day = day or spark.read.json(f"{path}/latest").first()["snapshot_date"]
+    nodes, edges = (spark.read.parquet(f"{path}/snapshot_date={day}/{name}") for name in ("nodes", "edges"))
+    return nodes, edges, day
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

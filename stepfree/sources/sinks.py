@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from stepfree.functions.labels import CLASSES
 
 
+#: Labels that one JSON object may hold.
+MOST_LABELS = 200_000
+
+
 def _not_empty(df: DataFrame, what: str) -> None:
     if not df.take(1):
         raise ValueError(f"no rows to write: {what}")
@@ -51,16 +55,20 @@ def geojson(points: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    """A label store: one JSON object keyed by segment|attribute, keys sorted. Stores
-    are kept by hand and small; labels at scale are the table itself."""
+    """A label store: one JSON object keyed by segment|attribute, keys sorted. Such stores
+    are kept by hand; more than `MOST_LABELS` labels are refused and belong in a table."""
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: write them as a table")
     entry = F.struct(F.concat_ws("|", "segment_id", "attribute").alias("k"), F.struct("verdict", "note").alias("l"))
     store = labels.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
     store.coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_predictions(dets: DataFrame, path: str) -> None:
-    """One JSON line per image with its detections; images without any are not written."""
-    rows = dets.groupBy("image_id").agg(F.collect_list(F.struct("class_name", "confidence", "polygon_xy")).alias("detections"))
+    """One JSON line per image with its detections, and its width and height where `dets`
+    has them; images without any are not written. `read_predictions` reads it back."""
+    sizes = [c for c in ("image_width", "image_height") if c in dets.columns]
+    rows = dets.groupBy("image_id").agg(*[F.max(c).alias(c) for c in sizes], F.collect_list(F.struct("class_name", "confidence", "polygon_xy")).alias("detections"))
     rows.write.mode("overwrite").json(path)
 
 

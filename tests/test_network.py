@@ -93,6 +93,42 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch):
+    import random
+
+    from stepfree.operators import components
+
+    r = random.Random(2)
+    links = [(f"n{r.randrange(300)}", f"n{r.randrange(300)}") for _ in range(260)] + [("hub", f"n{i}") for i in range(0, 40)]
+    e = spark.createDataFrame(links, "u string, v string").repartition(5)
+    one = sorted(connected_components(e).collect())
+    monkeypatch.setattr(components, "TASK_LINKS", 7)
+    assert sorted(connected_components(e).collect()) == one
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for u, v in links:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    assert {n.node: n.root for n in one} == {x: find(x) for x in parent}
+
+
+def test_error_function_and_running_totals(spark):
+    import math
+
+    from stepfree.functions.stats import erfc_sql, running_totals
+
+    xs = [i / 8 for i in range(0, 208)]
+    got = {x.x: x.e for x in spark.createDataFrame([(x,) for x in xs], "x double").selectExpr("x", f"{erfc_sql('x')} as e").collect()}
+    assert all(abs(got[x] / math.erfc(x) - 1) < 1e-11 for x in xs)
+    rows = [(g, (i * 7919 % 1000 - 500) / 3.0, i % 4) for g in (None, "a") for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, x double, w int")
+    for key in (None, "a"):
+        total = 0
+        for x in sorted((x for x in running_totals(df, ["g"], "x", "w", "upto").collect() if x.g == key), key=lambda x: x.x):
+            total += x.w
+            assert x.upto == total
+
+
 def test_spread_rank_equals_a_window(spark):
     df = spark.range(5000).selectExpr("id", "if(id % 3 = 0, null, id % 5) as g").withColumn("o", hash_order("id"))
     got = {r.id: r.rank_pos for r in spread_rank(df, ["g"], "o").collect()}

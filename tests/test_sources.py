@@ -95,3 +95,40 @@ def test_command_line(spark, tmp_path):
 
     main(["coverage", "/root/testdata/sf0.001", "--output", str(tmp_path / "o"), "--format", "csv"])
     assert spark.read.csv(str(tmp_path / "o"), header=True).count() == 14
+
+
+def test_predictions_of_several_images_come_back(spark, tmp_path):
+    rows = [(f"i{k}", "Curb", 0.5, [[1.0, 2.0], [3.0, 4.0]], 640 + k, 480) for k in range(7)] + [("i0", "Pole", 0.25, [[0.0, 1.0]], 640, 480)]
+    df = spark.createDataFrame(rows, "image_id string, class_name string, confidence double, polygon_xy array<array<double>>, image_width bigint, image_height bigint")
+    sinks.write_predictions(df.coalesce(1), str(tmp_path / "p"))
+    for lines in (False, True):
+        assert sorted(tuple(r) for r in files.read_predictions(spark, str(tmp_path / "p"), sizes=True, lines=lines).collect()) == sorted(rows)
+
+
+def test_jobs(spark, tmp_path):
+    from stepfree.cli import main
+
+    t, out = "/root/testdata/sf0.001", str(tmp_path / "snap")
+    main(["refresh", t, "--output", out, "--day", "2024-01-01"])
+    main(["refresh", t, "--output", out, "--day", "2024-01-02"])
+    nodes, edges, day = files.read_snapshot(spark, out)
+    assert day == "2024-01-02" and nodes.count() > 0 and edges.count() > 0
+    assert [r.line for r in spark.read.parquet(f"{out}/log").where("snapshot_date = '2024-01-02'").collect()] == ["no changes"]
+
+    spark.createDataFrame([(r, c, float(10 * c)) for r in range(4) for c in range(5)], "row int, col int, value double").write.parquet(str(tmp_path / "cells"))
+    main(["slope", str(tmp_path / "cells"), "--cell", "100", "--output", str(tmp_path / "slope")])
+    assert {round(r.slope, 9) for r in spark.read.parquet(str(tmp_path / "slope")).collect()} == {10.0}
+
+    line = lambda y, z: {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, y], [40, y]]}, "properties": {"z": z}}
+    (tmp_path / "c.json").write_text(json.dumps({"features": [line(0, 5.0), line(10, 5.0), line(900, 7.0)]}))
+    main(["dem", str(tmp_path / "c.json"), "--elevation", "z", "--cell", "10", "--box=-1,-1,50,50", "--output", str(tmp_path / "dem")])
+    assert {round(r.value, 6) for r in spark.read.parquet(str(tmp_path / "dem")).collect()} == {5.0}
+
+    (tmp_path / "m.csv").write_text("id,path,lat,lng,city\n" + "".join(f"{i},u,{i / 10},2.5,Here\n" for i in range(40)))
+    main(["manifests", str(tmp_path / "m.csv"), "--train", "0.5", "--shard-size", "7", "--city", "here", "--box", "0,0,3,2", "--output", str(tmp_path / "shards")])
+    shards = spark.read.json(str(tmp_path / "shards"))
+    assert shards.count() == 21 and shards.groupBy("split", "shard").count().agg(F.max("count")).first()[0] <= 7
+
+    main(["experiment", t, "--pairs", "40", "--seed", "3", "--output", str(tmp_path / "e")])
+    done = {r.condition: json.loads(r.document) for r in spark.read.parquet(str(tmp_path / "e")).collect()}
+    assert len(done) == 4 and all(x["n_solved"] == 40 and "route_diff_ci95" in x for x in done.values())
