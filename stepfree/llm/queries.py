@@ -48,7 +48,7 @@ def scored_detections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    best = topn.top_n(scored_detections(spark, sf), ["image_id", "class_key"], "det_id", "area", TOP_DETECTIONS)
+    best = topn.top_n(cut(scored_detections(spark, sf)), ["image_id", "class_key"], "det_id", "area", TOP_DETECTIONS)
     return best.select("image_id", "class_key", "rank_pos", "det_id")
 
 
