@@ -211,13 +211,59 @@ Sigan a @acerasvivas para más noticias.
 Plaza Nueva tiene pavimento podotáctil desde abril.
 """.strip().split("\n")
 
+#: Written after the tagger and its form checks were finished, and never used to change them.
+FRESH = """
+Somebody called [[n|Tamsin Hollis]] wants the bench moved two yards south.
+I was told to hand the badge to [[n|Curtis Delaney]] at gate four.
+Kind words from [[n|Marguerite Dufresne]] after the new lift opened.
+[[n|Alistair Munro]] slipped a note under my door last night.
+Ask whether [[n|Bernadette Quigley]] still keeps the spare ramp in her garage.
+The inspector scribbled [[p|0121 496 0423]] beside the crack.
+After six, dial [[p|(303) 555-0119]] and wait for the tone.
+Anything urgent goes to [[e|duty.officer@bridgeton.gov]] first.
+He insists his email is [[e|rockhound1962@aol.com]], dots or no dots.
+The bin lorry cannot turn near [[a|33 Sycamore Crescent]].
+They demolished the porch of [[a|118 Victoria Road]] overnight.
+Stamped on the permit: SSN [[i|402-11-7788]].
+Her passport [[i|PA4419072]] was copied at reception.
+[[n|Winston Achebe]], [[a|7 Linden Close]], asked for an audible signal.
+Minutes go to [[n|Petra Novak]] via [[e|petra@novakdesign.com]].
+Bridge Street reopens on 14 June after ten weeks.
+The order 7782-19 is still at the depot.
+Riverside Library lends folding ramps on Thursdays.
+Quem regou as plantas foi [[n|Dirceu Barcelos]], como sempre.
+A multa chegou em nome de [[n|Solange Meireles]].
+Vi [[n|Anselmo Quintela]] empurrando o carrinho na ladeira.
+A prova de vida do [[n|Aluísio Ferraz]] vence amanhã.
+Escrevi ao jornal pelo [[e|cartas@diariodosul.com.br]] e nada.
+O técnico deixou o ramal [[p|(51) 3222-8090]] anotado na parede.
+Só respondem no [[p|+55 71 98123-4455]], e devagar.
+Na faixa em frente à [[a|Rua General Osório, 221]] ninguém para.
+Um cano estourou na [[a|Avenida Getúlio Vargas, 1040]].
+O CPF [[i|765.432.109-87]] do inquilino não confere.
+[[n|Noêmia Sardinha]] vende a cadeira por telefone, [[p|(19) 99701-2233]].
+O degrau da Rua Bento Gonçalves tem 18 cm.
+Escola Técnica Vital Brazil, portão dos fundos.
+Trajo la denuncia [[n|Hortensia Galindo]] en mano.
+No encuentro a [[n|Severino Blanes]] por ningún lado.
+El ramo es para [[n|Maribel Ontiveros]], de la tercera planta.
+Recogió las firmas [[n|Leandro Cabezas]] puerta por puerta.
+Escríbeme a [[e|tomasin.rey@correo.es]] cuando abran.
+Contesta un robot en el [[p|93 412 55 66]].
+Dejaron el andamio en [[a|Calle del Pez, 17]].
+La grúa se llevó el coche de [[a|Avenida de América, 64]].
+Consta el DNI [[i|50123456K]] en la solicitud.
+El acta 17/2020 quedó sin firmar.
+Biblioteca Pública Carmen Laforet, sin rampa.
+""".strip().split("\n")
+
 _MARK = re.compile(r"\[\[(\w)\|(.+?)\]\]")
 
 
-def labelled():
+def labelled(sentences=SENTENCES):
     """[(text, [(start, end, kind)])] of all sentences."""
     out = []
-    for line in SENTENCES:
+    for line in sentences:
         text, spans, last = "", [], 0
         for m in _MARK.finditer(line):
             text += line[last : m.start()]
