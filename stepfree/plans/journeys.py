@@ -436,13 +436,13 @@ _CHANGES = " union all ".join(f"select 'changed', u, v, k, '{t}', a.\"{t}\", b.\
 
 ORACLE = {
     "od_sample": f"""with {_od()} select seed, pair_id, o, d, {_fix("dist", 3)} as dist, band from od""",
-    "shortest_path_hops": f"""with recursive {_costed(_ONE)}, ends as (select node_id as o from nodes), {_labels_of("true", "ends")} select condition, o, node, {_fix("dist", 4)} as dist from lab""",
+    "shortest_path_hops": f"""with recursive {_costed(_ONE)}, origins as (select node_id as o from nodes), {_labels_of("true", "origins")} select condition, o, node, {_fix("dist", 4)} as dist from lab""",
     "shortest_routes": f"""{_RUN} select condition, pair_id, hops::integer as hops, {_fix("cost")} as cost, array_to_string(nodes, '>') as path from routes""",
     "route_hazards": f"""{_RUN}, {_hazards()} select condition, cfg_id, pair_id, {_fix("cost")} as cost, steps, obstacles, curb_barriers, high_grade_len, ramp_access from hz""",
     "route_overlap": f"""{_RUN}, a as (select pair_id, u, v, k from steps where condition = 'baseline'), b as (select pair_id, u, v, k from steps where condition = 'full_validated'),
-        ends as (select pair_id from routes where condition in ('baseline', 'full_validated') group by pair_id having count(*) = 2),
+        solved as (select pair_id from routes where condition in ('baseline', 'full_validated') group by pair_id having count(*) = 2),
         twos as (select pair_id, u, v, k, count(*) as n from (select * from a union all select * from b) group by all)
-        select pair_id, coalesce(count(*) filter (where n = 2), 0)::integer as shared, count(n)::integer as total from ends left join twos using (pair_id) group by pair_id""",
+        select pair_id, coalesce(count(*) filter (where n = 2), 0)::integer as shared, count(n)::integer as total from solved left join twos using (pair_id) group by pair_id""",
     "compare_conditions": f"""{_SCORED}, {_compared_sql("condition")}, {_interval("ci", "select condition, changed::integer as flag from scored")},
         {_interval("better", "select condition, case when changed then (label = 'improvement')::integer end as flag from scored")},
         {_signed_ranks("paid", "select condition, cost_base - cost_full as d from twos")}, {_signed_ranks("met", "select condition, (obstacles_base - obstacles_full)::double as d from twos")}
