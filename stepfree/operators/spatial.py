@@ -110,7 +110,8 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_
     """
     radius = chord(metres)
     points = clean_positions(df, key, lat, lon).withColumn("weight", F.lit(1).cast("bigint"))
-    leaves = _to_leaves(points, *_halo(fit_planes(df, lat, lon, leaf_rows, sample_rows), radius))
+    planes, blocks = fit_planes(df, lat, lon, leaf_rows, sample_rows)
+    leaves = _to_leaves(points, planes, radius, blocks)
     kind = points.schema["id"].dataType.simpleString()
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +133,6 @@ def near_pairs(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_
     return leaves.groupBy("leaf", "first", "second").applyInArrow(join, f"id_a {kind}, id_b {kind}")
 
 
-def _halo(fitted: tuple[Planes, np.ndarray], radius: float) -> tuple[Planes, float, np.ndarray]:
-    return fitted[0], radius, fitted[1]
-
-
 def near_links(df: DataFrame, key: str, lat: str, lon: str, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, place_id, n_links): per key the class of keys at the very same position, named
     by its least key, and the number of other keys at most `metres` away.

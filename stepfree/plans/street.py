@@ -461,8 +461,8 @@ ORACLE = {
         select w.segment_id, w.attribute, w.image_id, coalesce(l.verdict, '') as verdict, {_fix("lat")} as lat, {_fix("lon")} as lon, lat is not null as has_link
         from worklist w left join labels l using (segment_id, attribute) left join at_mid using (segment_id)""",
     "image_dedupe": f"with {_IMAGES} select image_id, image_path, captured_at, split from images",
-    "image_flatten": f"""with {_IMAGES} select 'somewhere' as city, count(*) as n, count(compass_angle) as n_heading, count(case when {_USABLE} then 1 end) as n_usable
-        from images where image_path is not null and image_path <> '' and not coalesce(isnan(latitude), false) and not coalesce(isnan(longitude), false) and not coalesce(isnan(compass_angle), false)""",
+    "image_flatten": f"""with {_IMAGES} select 'somewhere' as city, count(*) as n, count(case when not isnan(compass_angle) then 1 end) as n_heading, count(case when {_USABLE} then 1 end) as n_usable
+        from images where image_path is not null and image_path <> ''""",
     "csv_alias_required": f"with {_IMAGES} select image_id, coalesce(nullif(trim(city, ' '), ''), nullif(trim(split, ' '), ''), nullif(trim(image_id, ' '), '')) as place from images",
     "tile_grid": f"""with n as (select ceil(({_E} - {_W})::double / 0.004::double)::bigint as nx, ceil(({_N} - {_S})::double / 0.004::double)::bigint as ny),
         t as (select nx, ny, i, j from n, range(100) a(i), range(100) b(j) where i < nx and j < ny)
