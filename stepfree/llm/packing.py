@@ -31,26 +31,31 @@ from stepfree.session import cut
 CAPACITY = 2048
 SMALL_PART = 8
 SIZE_GROUPS = 24
+#: Vocabulary file of a public tokenizer; the session setting `stepfree.tokenizer` names another.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # fixed value: the pattern that splits text before the merges of the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):  # noqa: ANN202
+def _encoding(vocabulary: bytes):  # noqa: ANN202
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """(id, n_tokens) of the whole text; null and empty texts have 0 tokens."""
+def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(id, n_tokens) of the whole text; null and empty texts have 0 tokens. The
+    vocabulary (a file of a megabyte or so, whatever the data) is read on the driver
+    and sent along, so executors need no file."""
+    spark = df.sparkSession
+    with open(path or spark.conf.get("stepfree.tokenizer", TOKENIZER), "rb") as file:
+        shared = spark.sparkContext.broadcast(file.read())
     kind = df.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(shared.value).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])

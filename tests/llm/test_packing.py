@@ -79,3 +79,16 @@ def test_token_counts_are_whole(spark):
     long = "a stone kerb, " * 20_000 + "x" * 5000
     rows = {r.id: r.n_tokens for r in P.token_counts(spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (4, long), (5, "<|endoftext|>")], "k bigint, t string"), "k", "t").collect()}
     assert rows[1] == 2 and rows[2] == rows[3] == 0 and rows[4] > 80_000 and rows[5] > 1
+
+
+def test_the_vocabulary_is_a_setting(spark, tmp_path):
+    import base64
+
+    few = tmp_path / "bytes.tiktoken"
+    few.write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i}" for i in range(256)))
+    spark.conf.set("stepfree.tokenizer", str(few))
+    try:
+        (row,) = P.token_counts(spark.createDataFrame([(1, "one two")], "k bigint, t string"), "k", "t").collect()
+    finally:
+        spark.conf.unset("stepfree.tokenizer")
+    assert row.n_tokens == 7
