@@ -48,3 +48,12 @@ def kerb_width(points: Column, kerb: Column, height: Column) -> Column:
     """Width bucket with the kerb's height as the scale; null for a kerb under two pixels."""
     kerb_px = _extent(kerb, 1)
     return F.when(kerb_px >= KERB_LEAST_PX, width_bucket(_extent(bottom_band(points, height), 0) * (KERB_M / kerb_px)))
+
+
+# fixed value: the steepest ramp, in percent, that the accessibility standard allows in general
+MOST_RAMP_PCT = 8.33
+
+
+def ramp_compliance(slope_pct: Column) -> Column:
+    """compliant up to `MOST_RAMP_PCT`, else excessive; null for no slope."""
+    return F.when(slope_pct <= MOST_RAMP_PCT, "compliant").when(slope_pct.isNotNull(), "excessive")

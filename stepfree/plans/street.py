@@ -11,6 +11,7 @@ from stepfree.functions.labels import BARRIER_WEIGHT, CLASS_OF_KEY, CLASSES, EVI
 from stepfree.functions.polygon import shoelace_area, valid_points
 from stepfree.functions.stats import fixed
 from stepfree.functions.text import class_key
+from stepfree.functions.vision import MOST_RAMP_PCT, ramp_compliance
 from stepfree.operators import audit
 from stepfree.operators import detections as D
 from stepfree.operators import images as I
@@ -21,6 +22,8 @@ from stepfree.session import table
 FRAME_W, FRAME_H = 1024.0, 768.0
 BOX = (-61.43, -23.32, -61.41, -23.30)
 CITY = "ombrel alto"
+# fixed values: addresses of the public map service that a place in the list is opened with
+LINKS = {"map_url": "https://www.google.com/maps/search/?api=1&query=", "view_url": "https://www.google.com/maps/@?api=1&map_action=pano&viewpoint="}
 DISCOUNTS, PENALTIES = [0.7, 0.8, 0.9], [15.0, 25.0, 40.0]
 
 
@@ -204,7 +207,8 @@ def edge_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Widths and slopes seen along edges; the slope table is the image's heading
     read as a percentage, as there is no raster of the towns."""
     slopes = images(spark, sf, "compass_angle").select("image_id", (F.col("compass_angle") / 10).alias("slope"))
-    return N.edge_geometry(mirrored(spark, sf), N.picture_geometry(images(spark, sf, "image_id"), dets(spark, sf), FRAME_H, slopes))
+    done = N.edge_geometry(mirrored(spark, sf), N.picture_geometry(images(spark, sf, "image_id"), dets(spark, sf), FRAME_H, slopes))
+    return done.withColumn("ramp_compliance", ramp_compliance(F.col("ramp_declivity_pct")))
 
 
 def label_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,8 +219,9 @@ def field_list(spark: SparkSession, sf: str) -> DataFrame:
     """The worklist with its label and the place to go to; segments without a place have nulls."""
     at = N.segment_midpoints(edges(spark, sf), nodes(spark, sf))
     rows = work(spark, sf).join(labels(spark, sf), ["segment_id", "attribute"], "left").join(at, "segment_id", "left")
-    url = F.concat(F.lit("https://maps.example/?q="), fixed(F.col("lat"), 6).cast("string"))
-    return rows.select("segment_id", "attribute", "image_id", F.coalesce("verdict", F.lit("")).alias("verdict"), fixed(F.col("lat"), 6).alias("lat"), fixed(F.col("lon"), 6).alias("lon"), url.isNotNull().alias("has_link"))
+    spot = F.concat_ws(",", *[fixed(F.col(c), 6).cast("decimal(12,6)").cast("string") for c in ("lat", "lon")])
+    links = [F.when(F.col("lat").isNotNull(), F.concat(F.lit(start), spot)).otherwise("").alias(name) for name, start in LINKS.items()]
+    return rows.select("segment_id", "attribute", "image_id", F.coalesce("verdict", F.lit("")).alias("verdict"), fixed(F.col("lat"), 6).alias("lat"), fixed(F.col("lon"), 6).alias("lon"), *links)
 
 
 QUERIES = {
@@ -449,7 +454,8 @@ ORACLE = {
         i as (select image_id, min(case when width < 0.5 then 0 when width < 0.9 then 1 when width is not null then 2 end) as w, max((class_key = 'curb-cut')::int) as ramp from w group by image_id),
         g as (select image_id, w, case when ramp = 1 then floor(compass_angle / 10 * 100 + 0.5) / 100 end as s from i join images using (image_id)),
         e as (select u, v, k, min(w) as w, max(s) as s from mirrored join g using (image_id) group by u, v, k)
-        select u, v, k, case w when 0 then 'under_50cm' when 1 then '50_to_90cm' when 2 then 'over_90cm' end as width_bucket_uncalibrated_estimate, s as ramp_declivity_pct from e""",
+        select u, v, k, case w when 0 then 'under_50cm' when 1 then '50_to_90cm' when 2 then 'over_90cm' end as width_bucket_uncalibrated_estimate, s as ramp_declivity_pct,
+          case when s <= {MOST_RAMP_PCT} then 'compliant' when s is not null then 'excessive' end as ramp_compliance from e""",
     "label_audit": " union all ".join(
         f"""select '{c}' as "column", count(*) as n, count(*) filter (where {c} is null) as n_null, count(distinct {c}) as n_different,
         (select string_agg(x, ';' order by x) from (select distinct {c} as x from seg_labels where {c} is not null order by x limit 20)) as first_values from seg_labels"""
@@ -458,7 +464,7 @@ ORACLE = {
     "field_list": f"""with {_PLACED}, {_DETS}, {_EDGES}, {_SNAP}, {_WORK}, {_LABELS}, at_mid as (
           select {_SEG.format(u="u", v="v", k="k")} as segment_id, min((a.y + b.y, a.x + b.x))[1] / 2 as lat, min((a.y + b.y, a.x + b.x))[2] / 2 as lon
           from edges e left join nodes a on a.node_id = e.u left join nodes b on b.node_id = e.v group by 1)
-        select w.segment_id, w.attribute, w.image_id, coalesce(l.verdict, '') as verdict, {_fix("lat")} as lat, {_fix("lon")} as lon, lat is not null as has_link
+        select w.segment_id, w.attribute, w.image_id, coalesce(l.verdict, '') as verdict, {_fix("lat")} as lat, {_fix("lon")} as lon, {", ".join(f"case when lat is not null then '{start}' || ({_fix('lat')})::decimal(12,6)::varchar || ',' || ({_fix('lon')})::decimal(12,6)::varchar else '' end as {name}" for name, start in LINKS.items())}
         from worklist w left join labels l using (segment_id, attribute) left join at_mid using (segment_id)""",
     "image_dedupe": f"with {_IMAGES} select image_id, image_path, captured_at, split from images",
     "image_flatten": f"""with {_IMAGES} select 'somewhere' as city, count(*) as n, count(case when not isnan(compass_angle) then 1 end) as n_heading, count(case when {_USABLE} then 1 end) as n_usable
