@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from stepfree.functions.labels import lookup
 
 PRESENT, ABSENT, UNKNOWN = "present", "absent", "unknown"
+# fixed values: tiers, worst first
 TIERS = ["poor", "fair", "good"]
+# fixed values: width classes, narrowest first
 WIDTHS = ["under_50cm", "50_to_90cm", "over_90cm"]
 WIDTH_CUTS_M = (0.5, 0.9)
 # fixed values: surface and smoothness values by tier
@@ -24,8 +26,11 @@ SMOOTHNESS_TIER = {
     "excellent": "good", "good": "good", "intermediate": "fair",
     "bad": "poor", "very_bad": "poor", "horrible": "poor", "very_horrible": "poor", "impassable": "poor",
 }
+# fixed values: kinds of ways without steps
 BENIGN_HIGHWAYS = ["footway", "path", "pedestrian", "residential", "living_street"]
+# fixed values: map tags read from ways
 WAY_TAGS = ["surface", "smoothness", "width", "kerb", "tactile_paving", "incline", "lit", "handrail", "ramp", "step_count", "wheelchair", "barrier", "footway", "highway"]
+# fixed values: map tags read from nodes
 NODE_TAGS = ["crossing", "tactile_paving", "kerb", "barrier", "wheelchair", "highway"]
 
 
