@@ -51,6 +51,10 @@ _PLACE = regex.compile(
     r"(?<!\p{L})(?:Rua|R\.|Avenida|Avda?\.|Av\.|Travessa|Praça|Alameda|Largo|Calle|C/|Plaza|Travesía|Paseo|Escola|Escuela|Colégio|Colegio|Hospital|Biblioteca|Fundação|Fundación"
     r"|Street|Road|Avenue|Lane|School|Foundation|Library|Square)(?!\p{L})", regex.I,
 )
+_WITHIN_PLACE = regex.compile(
+    r"(?<!\p{L})(?:Rua|Avenida|Travessa|Praça|Alameda|Largo|Calle|Plaza|Travesía|Paseo|Escola|Escuela|Colégio|Colegio|Hospital|Biblioteca|Fundação|Fundación"
+    r"|Street|Road|Avenue|Lane|School|Foundation|Library|Square)(?!\p{L})", regex.I,
+)
 _OF_PLACE = regex.compile(
     r"(?<!\p{L})(?:escola|escuela|colégio|colegio|hospital|biblioteca|school|library|hospital|instituto|fundação|fundación|foundation|universidade?)(?:\s\p{L}+)?\s+(?:d[aeo]s?\s|del\s)?$", regex.I
 )
@@ -58,7 +62,7 @@ _PLACE_OF = regex.compile(r"\s+(?:primary\s+)?(?:school|foundation|library|hospi
 # fixed values: words of running text that are no part of a name
 _RUNNING = frozenset(
     "the this that these those in on at of for from with because which beside between both only my our your is was are and foi fue como entre apenas que quando cuando para por com con em en um uma una sin sem queda fica quien quem"
-    " ayer hoy ontem hoje yesterday today".split()
+    " ayer hoy ontem hoje yesterday today when how what where why who every keeps by qual quais casi todo toda delante a o as os".split()
 )
 _LETTER = regex.compile(r"[\p{L}\p{M}]")
 
@@ -81,7 +85,7 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         end = start + len(part) - (title.end() if title else 0)
         start, end = _capitalised(text, *_without_running(text, start, end))
         said = text[start:end]
-        if len(said.split()) < 2 or any(c.isdigit() for c in said) or any(w.strip(".,").lower() in _RUNNING for w in said.split()) or _PLACE.search(said):
+        if len(said.split()) < 2 or any(c.isdigit() for c in said) or any(_running(w) for w in said.split()) or _PLACE.match(said) or _WITHIN_PLACE.search(said):
             return None
         before = html.unescape(text[max(0, start - _MARGIN) : start])
         return None if _OF_PLACE.search(before) or _PLACE_OF.match(text, end) else (start, end)
@@ -108,12 +112,17 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     return None
 
 
+def _running(word: str) -> bool:
+    """A word of running text; a letter with a full stop is an initial."""
+    return word.strip(",;").lower() in _RUNNING or (len(word) > 2 and word.strip(".,;").lower() in _RUNNING)
+
+
 def _without_running(text: str, start: int, end: int) -> tuple[int, int]:
     """A span without the running words it begins and ends with."""
     parts = list(regex.finditer(r"\S+", text[start:end]))
-    while parts and parts[0].group(0).strip(".,").lower() in _RUNNING:
+    while parts and _running(parts[0].group(0)):
         parts.pop(0)
-    while parts and parts[-1].group(0).strip(".,").lower() in _RUNNING:
+    while parts and _running(parts[-1].group(0)):
         parts.pop()
     return (start + parts[0].start(), start + parts[-1].end()) if parts else (start, start)
 

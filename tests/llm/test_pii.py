@@ -41,7 +41,7 @@ def test_mentions_of_each_kind(model):
 
 
 def test_held_out_accuracy(model):
-    """Texts that are no part of the training files."""
+    """Texts of another scale; about half of them are in the training files too (README has figures for texts that are not)."""
     scores = measure(model, [t for t, _ in read_texts("/root/testdata/sf0.01/documents.parquet", 1000)])
     for kind, (precision, recall) in scores.items():
         assert precision > 0.93 and recall > 0.93, (kind, precision, recall)
