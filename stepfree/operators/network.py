@@ -77,11 +77,12 @@ def grades(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(*KEY, grade.alias("grade"), F.abs(grade).alias("grade_abs"))
 
 
-def map_evidence(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v, k, nine attributes): what tags say, null where they say nothing."""
+def map_evidence(edges: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """(u, v, k, nine attributes): what tags say, null where they say nothing; with the
+    edges' own `columns`, if given."""
     both = with_nodes(edges, nodes.select("node_id", "tags").withColumnRenamed("tags", "ntags"), "ntags")
     found = T.canonical(F.col("tags"), F.col("ntags_u"), F.col("ntags_v"))
-    return both.select(*KEY, *[c.alias(n) for n, c in found.items()])
+    return both.select(*KEY, *columns, *[c.alias(n) for n, c in found.items()])
 
 
 def segment_id(u: Column, v: Column, k: Column) -> Column:

@@ -132,7 +132,7 @@ def weight_sweep(s: SparkSession, d: str) -> DataFrame:
     pairs = cut(sampling.od_pairs(S.nodes(s, d), PAIRS))
     truth = cut(S.validated(s, d))
     rows = N.condition_edges(truth, S.DISCOUNTS, S.PENALTIES).where("condition = 'full_validated' or condition = 'baseline' and cfg_id = 0")
-    hz = M.hazards(cut(routing.routes(_parallel(rows), pairs.select("pair_id", "o", "d"))), truth)
+    hz = cut(M.hazards(cut(routing.routes(_parallel(rows), pairs.select("pair_id", "o", "d"))), truth))
     every = F.explode(F.array(*[F.lit(i) for i in range(len(S.DISCOUNTS) * len(S.PENALTIES))]))
     hz = hz.where("condition <> 'baseline'").unionByName(hz.where("condition = 'baseline'").withColumn("cfg_id", every))
     done = M.compare(M.paired(hz), ["cfg_id"])

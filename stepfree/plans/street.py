@@ -17,7 +17,7 @@ from stepfree.operators import detections as D
 from stepfree.operators import images as I
 from stepfree.operators import network as N
 from stepfree.operators.components import connected_components
-from stepfree.session import table
+from stepfree.session import cut, table
 
 FRAME_W, FRAME_H = 1024.0, 768.0
 BOX = (-61.43, -23.32, -61.41, -23.30)
@@ -81,7 +81,14 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
-    return N.apply_labels(fused(spark, sf), labels(spark, sf))
+    """Fused edges with their labels. The edges are cleaned once, for tags, snapping, twins and
+    the rest, and what was found is written before it is joined: in one plan the driver would
+    hold all of it, and describe it anew after each stage."""
+    own = ["length", "grade", "grade_abs"]
+    known = cut(N.map_evidence(edges(spark, sf), nodes(spark, sf), *own))
+    near = cut(N.snap(placed(spark, sf).select("image_id", "latitude", "longitude"), known, nodes(spark, sf)))
+    seen = cut(N.image_evidence(N.mirror(near, known), dets(spark, sf)))
+    return N.apply_labels(N.fuse(known, known.drop(*own), seen), labels(spark, sf))
 
 
 def costed(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,3 +135,12 @@ def test_images_with_nan_are_flattened_too(spark, tmp_path):
     rows.drop("i").write.parquet(f"{tmp_path}/manifest.parquet")
     (got,) = street.image_flatten(spark, str(tmp_path)).collect()
     assert (got.n, got.n_heading, got.n_usable) == (3, 2, 2)
+
+
+def test_validated_edges_are_written_step_by_step(spark):
+    """As one plan over all tables they filled the driver's memory; the steps give the same edges."""
+    got = street.validated(spark, DATA)
+    assert {f.rstrip("/").split("/")[-1] for f in got.inputFiles()} == {"seg_labels.parquet"}
+    want = N.apply_labels(street.fused(spark, DATA), street.labels(spark, DATA))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() > 0 and got.where("n_images_observed > 0").count() > 0
