@@ -18,16 +18,21 @@ LEAST_AREA_PX = 50.0
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """One row per det_id: trimmed image_id, class_name, class_key, confidence,
-    points with two coordinates and their area. Rows without image, class, positive
-    confidence or a valid point are dropped; copies of a det_id count once."""
+    """`valid` rows, one per det_id: copies of a det_id count once."""
+    return valid(df).dropDuplicates(["det_id"])
+
+
+def valid(df: DataFrame) -> DataFrame:
+    """det_id, trimmed image_id, class_name, class_key, confidence, points with two
+    coordinates and their area. Rows without image, class, positive confidence or a
+    valid point are dropped; copies stay, for what asks only whether there is one."""
     rows = df.where("confidence > 0 and not isnan(confidence)").select(
         "det_id", F.trim("image_id").alias("image_id"), "class_name", class_key(F.col("class_name")).alias("class_key"),
         "confidence", valid_points(F.col("polygon_xy")).alias("points"),
     )
     rows = rows.where("image_id <> '' and class_key <> '' and size(points) > 0")
     # the area comes before the shuffle, so that polygons are shuffled only where a query reads them
-    return rows.withColumn("area", shoelace_area(F.col("points"))).dropDuplicates(["det_id"])
+    return rows.withColumn("area", shoelace_area(F.col("points")))
 
 
 def mapped(df: DataFrame) -> DataFrame:

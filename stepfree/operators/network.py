@@ -124,20 +124,21 @@ def snap(images: DataFrame, edges: DataFrame, nodes: DataFrame, most_m: float =
     go to the least (u, v, k). Each image is measured on the plane of its own 6-degree
     zone; an edge lies on the planes of all zones its ends are in or near. Edges are straight; they are laid into square cells
     along their course, wide enough that an image need only look into its own cell:
-    an equi-join instead of a comparison of all with all.
+    an equi-join instead of a comparison of all with all. Twins and parallel edges are
+    one line, laid once; the least (u, v, k) stands for it.
     """
     if most_m > _CELL_M / 2:
         raise ValueError(f"at most {_CELL_M / 2} m")
     im = add_projection(images, "latitude", "longitude")
-    im = im.select("image_id", "zone", "east", "north", F.floor(F.col("east") / _CELL_M).alias("cx"), F.floor(F.col("north") / _CELL_M).alias("cy"))
-    ends = in_zones(edges.select(*KEY), nodes)
-    # the same arithmetic for both directions, so that twins tie exactly
-    flip = F.col("u") > F.col("v")
-    pick = lambda c, a, b: F.when(flip, F.col(f"{c}_{b}")).otherwise(F.col(f"{c}_{a}"))
-    lines = ends.select(
-        *KEY, "zone", pick("east", "u", "v").alias("x0"), pick("north", "u", "v").alias("y0"),
-        pick("east", "v", "u").alias("x1"), pick("north", "v", "u").alias("y1"),
-    )
+    # NaN, which is near nothing, instead of null: a filter for nulls would work out the projection once more, term by term
+    plane = lambda c: F.coalesce(c, F.lit(float("nan")))
+    im = im.select("image_id", "zone", plane("east").alias("east"), plane("north").alias("north"))
+    im = im.withColumns({c: F.coalesce(F.floor(F.col(x) / _CELL_M), F.lit(0)) for c, x in (("cx", "east"), ("cy", "north"))})
+    known = edges.where("u is not null and v is not null")
+    lines = known.groupBy(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b")).agg(F.min(F.struct(*KEY)).alias("_key"))
+    ends = in_zones(lines.select(F.col("_a").alias("u"), F.col("_b").alias("v"), "_key"), nodes)
+    at = {"x0": "east_u", "y0": "north_u", "x1": "east_v", "y1": "north_v"}
+    lines = ends.select(*[F.col(f"_key.{c}") for c in KEY], "zone", *[plane(c).alias(n) for n, c in at.items()])
     long = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
     steps = F.greatest(F.ceil(long / (_CELL_M / 2)), F.lit(1)).cast("int")
     spots = lines.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
@@ -180,10 +181,11 @@ def image_evidence(assigned: DataFrame, detections: DataFrame) -> DataFrame:
     kinds = ["ramp_present", "marked_crossing_present", "fixed_obstacle_present"]
     attr = evidence_attribute(F.col("class_name"))
     per_image = detections.select("image_id", attr.alias("attr")).groupBy("image_id").agg(
-        *[F.max(F.when(F.col("attr") == a, PRESENT)).alias(a) for a in kinds]
-    )
+        *[F.max(F.when(F.col("attr") == a, 1)).alias(a) for a in kinds]
+    )  # numbers: texts would be sorted before they are folded
     joined = assigned.join(per_image, "image_id")
-    return joined.groupBy(*KEY).agg(*[F.max(a).alias(a) for a in kinds], F.count(F.lit(1)).alias("n_images"))
+    done = joined.groupBy(*KEY).agg(*[F.max(a).alias(a) for a in kinds], F.count(F.lit(1)).alias("n_images"))
+    return done.select(*KEY, *[F.when(F.col(a) == 1, PRESENT).alias(a) for a in kinds], "n_images")
 
 
 def picture_geometry(images: DataFrame, detections: DataFrame, height: float, slopes: DataFrame | None = None) -> DataFrame:

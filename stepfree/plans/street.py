@@ -83,11 +83,12 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 def validated(spark: SparkSession, sf: str) -> DataFrame:
     """Fused edges with their labels. The edges are cleaned once, for tags, snapping, twins and
     the rest, and what was found is written before it is joined: in one plan the driver would
-    hold all of it, and describe it anew after each stage."""
+    hold all of it, and describe it anew after each stage. Copies of a detection show nothing
+    that the first does not, so detections are folded per image and not shuffled one by one."""
     own = ["length", "grade", "grade_abs"]
     known = cut(N.map_evidence(edges(spark, sf), nodes(spark, sf), *own))
     near = cut(N.snap(placed(spark, sf).select("image_id", "latitude", "longitude"), known, nodes(spark, sf)))
-    seen = cut(N.image_evidence(N.mirror(near, known), dets(spark, sf)))
+    seen = cut(N.image_evidence(N.mirror(near, known), D.valid(table(spark, sf, "detections"))))
     return N.apply_labels(N.fuse(known, known.drop(*own), seen), labels(spark, sf))
 
 

@@ -144,3 +144,27 @@ def test_validated_edges_are_written_step_by_step(spark):
     want = N.apply_labels(street.fused(spark, DATA), street.labels(spark, DATA))
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.count() > 0 and got.where("n_images_observed > 0").count() > 0
+
+
+def test_validated_edges_need_little_disk(spark, monkeypatch):
+    """Every detection was shuffled by its number, every edge laid in both directions, every image projected again in a filter."""
+    seen, laid = [], []
+    evidence, snap = N.image_evidence, N.snap
+    monkeypatch.setattr(N, "image_evidence", lambda a, d: seen.append(evidence(a, d)) or seen[-1])
+    monkeypatch.setattr(N, "snap", lambda i, e, n: laid.append(snap(i, e, n)) or laid[-1])
+    got = sorted(map(str, street.validated(spark, DATA).collect()))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "det_id" not in plan and "SortAggregate" not in plan
+    plan = laid[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [row for row in plan.splitlines() if "Filter" in row and "SINH" in row.upper()]
+    monkeypatch.undo()
+    want = N.apply_labels(street.fused(spark, DATA), street.labels(spark, DATA))
+    assert got == sorted(map(str, want.collect()))
+
+
+def test_twins_and_parallel_edges_are_one_line(spark):
+    nodes = spark.createDataFrame([(i, -61.4 + 0.001 * i, -23.3) for i in (1, 2, 3)], "node_id bigint, x double, y double")
+    edges = spark.createDataFrame([(2, 1, 3), (2, 1, 1), (3, 2, 0), (2, 3, 5), (2, 3, 4), (3, 3, 0), (None, 1, 0)], "u bigint, v bigint, k int")
+    images = spark.createDataFrame([("a", -23.30001, -61.3985), ("b", -23.30001, -61.3975), ("c", -23.3, -61.3968), ("d", None, -61.3975)], "image_id string, latitude double, longitude double")
+    got = {r.image_id: (r.u, r.v, r.k) for r in N.snap(images, edges, nodes).collect()}
+    assert got == {"a": (2, 1, 1), "b": (2, 3, 4), "c": (2, 3, 4)}
