@@ -225,3 +225,27 @@ def test_images_at_a_seam_of_zones_find_edges_on_both_sides(spark):
     got = {r.image_id: (r.u, r.v, round(r.dist)) for r in N.snap(images, edges, nodes).collect()}
     assert set(got) == {"west", "east", "across", "line"}
     assert got["west"] == got["east"] == (1, 2, 11) and got["across"][:2] == (3, 4) and 10 <= got["across"][2] <= 14 and got["line"][:2] == (5, 6)
+
+
+def test_long_edges_are_laid_only_near_images(spark):
+    """Edges of 2,000 km across a plane: the same hits as by comparing all with all, and no cells where there is no image."""
+    nodes = spark.createDataFrame([(1, -63.0, -20.0), (2, -63.0, -2.0), (3, -61.0, -20.0), (4, -64.0, -2.0), (5, -62.9995, -19.9995)], "node_id bigint, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 0), (2, 1, 0), (3, 4, 1), (1, 5, 0)], "u bigint, v bigint, k int")
+    beside = [(f"m{i}", -20.0 + 18 * i / 400 if i < 40 else -20.0 + i * 1e-5, -63.0 + (i * 37 % 81 - 40) / 1.06e5) for i in range(400)]
+    images = spark.createDataFrame([*beside, ("end", -20.0, -61.0), ("none", 40.0, 7.0)], "image_id string, latitude double, longitude double")
+    at = N.add_projection(images, "latitude", "longitude")
+    near = at.join(N.in_zones(edges, nodes), "zone").withColumn("dist", N.segment_distance("east", "north", "east_u", "north_u", "east_v", "north_v")).where("dist <= 25")
+    want = {r.image_id: tuple(r.b) for r in near.groupBy("image_id").agg(F.min(F.struct("dist", *N.KEY)).alias("b")).collect()}
+
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    got = {r.image_id: (r.dist, r.u, r.v, r.k) for r in N.snap(images, edges, nodes).collect()}
+    moved = sum(n for k, n in shuffled().items() if k not in before)
+    assert {i: x[1:] for i, x in got.items()} == {i: x[1:] for i, x in want.items()} and all(abs(got[i][0] - want[i][0]) < 1e-6 for i in want)
+    assert {r[1:] for r in got.values()} == {(1, 2, 0), (3, 4, 1), (1, 5, 0)} and sum(i[0] == "m" and int(i[1:]) < 40 for i in got) > 10 and "none" not in got
+    assert moved < 150_000
